@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import exact
+from chronocore.llm import exact, lines, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": exact.op6_exact_dedup}
+    return {
+        "op2_line_dedup": lines.op2_line_dedup,
+        "op6_exact_dedup": exact.op6_exact_dedup,
+        "op10_url_filter": urls.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.OP6_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op6_exact_dedup": exact.OP6_SQL, "op10_url_filter": urls.op10_sql()}
