@@ -26,22 +26,22 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 BUCKETS, SIZES = 4096, (3, 4)
-STEPS, RATE, DECAY = 300, 0.5, 1e-4
+STEPS, RATE, DECAY = 120, 0.5, 1e-3
 
 #: The labelled table: hosts of unwanted pages and of ordinary ones, each with a few paths.
 UNWANTED = "cheap-pills casino-win spam-farm free-bets adult-x ads-track buy-viagra hot-singles win-cash poker-bonus loan-now payday-cash click-ads ad-server xxx-video slots-win bet-online pharma-cheap replica-watch free-money".split()
-ORDINARY = "news daily-post library museum garden kitchen city-council weather school science forum wiki docs photos travel books history music health sports thermal therapist other theatre thunder things nation station ration into".split()
-PATHS = ["/en/12", "/fr/345", "/de/78/", "/es/901.html", "/", "/index.html", "/en/7?page=2"]
+ORDINARY = "news daily-post library museum garden kitchen city-council weather school science forum wiki docs photos travel books history music health sports thermal therapist other theatre thunder things nation station ration into british fashion finish relationship mansion patient brother northern ocean river mountain village".split()
+PATHS = ["/{lang}/{n}", "/{lang}/{n}/", "/{lang}/{n}.html", "/{lang}/{n}?page=2", "/{lang}/{n}#top", "/", ""]
 
 
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 if unwanted)."""
-    ends, fronts = ("com", "net", "org"), ("", "www.", "m.", "blog.")
+    """(url, 1 if unwanted). Both kinds have the same paths, so that only what sets them apart gets weight."""
+    ends, fronts, langs = ("com", "net", "org"), ("", "www.", "m.", "blog."), ("en", "fr", "de", "es")
     rows = []
     for label, hosts in ((1, UNWANTED), (0, ORDINARY)):
-        for i, host in enumerate(hosts):
-            for j in range(4):
-                rows.append((f"https://{fronts[(i + j) % 4]}{host}.example.{ends[(i + j) % 3]}{PATHS[(i + 2 * j) % len(PATHS)]}", label))
+        for j in range(480):
+            host, path = hosts[j % len(hosts)], PATHS[j % len(PATHS)].format(lang=langs[j // 3 % 4], n=j * 337 % 1000)
+            rows.append((f"https://{fronts[j // 5 % 4]}{host}.example.{ends[j // 2 % 3]}{path}", label))
     return rows
 
 
