@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import exact, lines, urls
+from chronocore.llm import exact, langid, lines, pii, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": lines.op2_line_dedup,
+        "op5_pii": pii.op5_pii,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op9_language_id": langid.op9_language_id,
         "op10_url_filter": urls.op10_url_filter,
     }
 
