@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocore.llm.shared import BROADCAST_ROWS, documents, given_id, hinted, row_id, stored
+from chronocore.llm.shared import documents, given_id, hinted, row_id, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -62,11 +62,10 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     gone = hashes.join(hinted(stored(repeated(hashes, min_docs))), "hash").filter("id <> last")
     # Rows that repeat an id and a text have the same positions.
     gone = stored(gone.groupBy("id", "version").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
-    total = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    gone = F.broadcast(gone) if total <= BROADCAST_ROWS else gone
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return rows.join(gone, ["id", "version"], "left").select(
+    # Positions grow with the corpus, so this is a shuffle of both sides at every size.
+    return rows.join(gone.hint("merge"), ["id", "version"], "left").select(
         "id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
     )
 
