@@ -331,5 +331,6 @@ def find(docs: DataFrame, table: Sequence[str] = TABLE, text: str = "text", key:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return found.select(given_id().alias("doc_id"), *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
