@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocore.llm import fuse
-from chronocore.llm.shared import documents, given_id, hinted, row_id, stored
+from chronocore.llm.shared import documents, given_id, row_id
+from chronocore.plans.storage import hinted, stored
 
 #: Digests that share a filter, about.
 KEYS_PER_FILTER = 16_384

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocore.llm.shared import documents, given_id, hinted, row_id, stored
+from chronocore.llm.shared import documents, given_id, row_id
+from chronocore.plans.storage import hinted, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5

@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared storage, size-checked broadcast and row identity.
+"""What the training-data operators share.
 
 Conventions that hold for every operator here:
 
@@ -9,45 +9,13 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast; a row of the sides in question takes tens of bytes.
-BROADCAST_ROWS = 200_000
 #: Stands for a null doc_id inside an operator.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one is set only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="chronocore-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronocore/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has so few rows that it may be broadcast. It counts; pass a stored table."""
-    return df.count() <= rows
-
-
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; beyond that the join shuffles, and AQE splits what is skewed."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 def row_id(df: DataFrame, col: str = "doc_id") -> Column:
     return F.coalesce(df[col].cast("long"), F.lit(NULL_ID)).alias("id")
 
@@ -64,5 +32,3 @@ def remainder(df: DataFrame, mod: int, col: str = "doc_id") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
