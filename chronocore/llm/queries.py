@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import exact, langid, lines, ngram_lm, pii, urls
+from chronocore.llm import exact, langid, lines, near, ngram_lm, pii, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near.op1_near_dedup,
         "op2_line_dedup": lines.op2_line_dedup,
         "op5_pii": pii.op5_pii,
         "op6_exact_dedup": exact.op6_exact_dedup,
