@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import exact, langid, lines, near, ngram_lm, pii, urls
+from chronocore.llm import decontam, exact, langid, lines, near, ngram_lm, pii, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": lines.op2_line_dedup,
         "op5_pii": pii.op5_pii,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op7_decontamination": decontam.op7_decontamination,
         "op8_lm_score": ngram_lm.op8_lm_score,
         "op9_language_id": langid.op9_language_id,
         "op10_url_filter": urls.op10_url_filter,
