@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import decontam, exact, langid, lines, near, ngram_lm, pii, urls
+from chronocore.llm import decontam, exact, langid, lines, mixing, near, ngram_lm, pii, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near.op1_near_dedup,
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_mixing": mixing.op3_mixing,
         "op5_pii": pii.op5_pii,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_decontamination": decontam.op7_decontamination,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL, "op6_exact_dedup": exact.OP6_SQL, "op10_url_filter": urls.op10_sql()}
+    return {"op2_line_dedup": lines.OP2_SQL, "op3_mixing": mixing.op3_sql(), "op6_exact_dedup": exact.OP6_SQL, "op10_url_filter": urls.op10_sql()}
