@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronocore.llm import decontam, exact, langid, lines, mixing, near, ngram_lm, pii, urls
+from chronocore.llm import decontam, exact, langid, lines, mixing, near, ngram_lm, passages, pii, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near.op1_near_dedup,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_passage_dedup": passages.op4_passage_dedup,
         "op5_pii": pii.op5_pii,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_decontamination": decontam.op7_decontamination,
