@@ -22,11 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, row_id
 from chronocore.plans.storage import hinted, stored
 
+NAMES = ["domain", "lang", "source"]
 RANGE_DOCS = 4096
 EPOCHS = 4
 
@@ -53,14 +55,16 @@ def _weight(weights: Mapping[str, int], name: Column) -> Column:
     return out.cast("long")
 
 
-def counted(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(id, domain, lang, source, n_tokens) of every row that has a token, stored; tokens end at white space."""
+def with_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__tokens``: the number of its tokens, which end at white space."""
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = textops.space_bytes()
         for b in batches:
             n = np.zeros(len(b), np.int64)
-            for first, part in textops.blocks(pc.fill_null(b.column(3), "")):
+            for first, part in textops.blocks(pc.fill_null(b.column(at), "")):
                 data, offsets = textops.buffers(part)
                 inside = kind[data]
                 begins = inside.copy()
@@ -70,14 +74,24 @@ def counted(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", s
                     begins[heads] = inside[heads]
                 sums = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
                 n[first : first + len(part)] = sums[offsets[1:]] - sums[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n)], ["id", "lang", "source", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*b.schema.names, "__tokens"])
+
+    return docs.mapInArrow(run, schema)
+
 
-    rows = docs.select(row_id(docs, key), F.coalesce(docs[lang].cast("string"), F.lit("?")).alias("lang"), F.coalesce(docs[source].cast("string"), F.lit("?")).alias("source"), docs[text].cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "id long, lang string, source string, n_tokens long").filter("n_tokens > 0")
+def leaf(mix: Mix, lang: Column, source: Column) -> dict[str, Column]:
+    source = F.coalesce(source.cast("string"), F.lit("?"))
     domain = F.lit("other")
     for s, d in mix.domain_of.items():
-        domain = F.when(F.col("source") == s, F.lit(d)).otherwise(domain)
-    return stored(rows.withColumn("domain", domain))
+        domain = F.when(source == s, F.lit(d)).otherwise(domain)
+    return {"domain": domain, "lang": F.coalesce(lang.cast("string"), F.lit("?")), "source": source}
+
+
+def counted(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """(id, domain, lang, source, n_tokens) of every row that has a token, stored."""
+    rows = docs.select(row_id(docs, key), docs[lang].alias("lang"), docs[source].alias("source"), docs[text].cast("string").alias("text"))
+    names = leaf(mix, F.col("lang"), F.col("source"))
+    return stored(with_tokens(rows).filter("__tokens > 0").select("id", *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens")))
 
 
 def filled(nodes: DataFrame, parent: Sequence[str], child: str) -> DataFrame:
@@ -116,34 +130,55 @@ def order_key(mix: Mix, epoch: Column) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(mix.seed)), epoch.cast("string"), given_id().cast("string")).cast("binary"))
 
 
-def mixed(rows: DataFrame, mix: Mix) -> DataFrame:
-    """(id, domain, lang, source, n_tokens, epoch) of what is selected, once for each epoch; ``rows`` is from counted()."""
-    names = ["domain", "lang", "source"]
-    leaves = stored(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
+def _range(ranges: Column) -> Column:
+    """The first 32 bits of the order, scaled to the number of ranges of the leaf."""
+    return F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * ranges, 32)
+
+
+def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Where each leaf is cut, stored: (domain, lang, source, whole, rest, ranges, cut, last).
+
+    ``whole`` epochs are taken; of one more, all ranges before ``cut`` (null: all), and of that range what is not after
+    ``last`` (order, id, n_tokens). ``rows`` is from counted().
+    """
+    leaves = stored(rows.groupBy(*NAMES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     plan = budgets(leaves, mix).withColumn("whole", F.floor(F.col("given") / F.col("tokens")).cast("long"))
     plan = plan.withColumn("rest", F.col("given") - F.col("whole") * F.col("tokens"))
-    plan = hinted(stored(plan.withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS).cast("long")).select(*names, "whole", "rest", "ranges")))
-    planned = rows.join(plan, names)
-    out = ["id", *names, "n_tokens", "epoch"]
-    whole = planned.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).select(*out)
-    part = planned.filter("rest > 0").withColumn("epoch", F.col("whole")).withColumn("order", order_key(mix, F.col("epoch")))
-    # The first 32 bits of the order, scaled to the number of ranges of the leaf.
-    at = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
-    part = part.withColumn("range", F.shiftright(at * F.col("ranges"), 32))
-    sums = part.groupBy(*names, "range").agg(F.sum("n_tokens").alias("tokens"))
-    end = F.sum("tokens").over(Window.partitionBy(*names).orderBy("range"))
-    sums = hinted(stored(sums.withColumn("end", end).withColumn("start", F.col("end") - F.col("tokens")).drop("tokens")))
-    part = part.join(sums, [*names, "range"])
-    inside = part.filter(F.col("end") <= F.col("rest")).select(*out)
-    cut = part.filter((F.col("end") > F.col("rest")) & (F.col("start") < F.col("rest")))
-    so_far = F.sum("n_tokens").over(Window.partitionBy(*names, "range").orderBy("order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    cut = cut.withColumn("so_far", F.col("start") + so_far).filter(F.col("so_far") <= F.col("rest")).select(*out)
-    return whole.unionByName(inside).unionByName(cut)
+    plan = stored(plan.withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS).cast("long")).select(*NAMES, "whole", "rest", "ranges"))
+    part = rows.join(hinted(plan.filter("rest > 0")), NAMES).withColumn("order", order_key(mix, F.col("whole"))).withColumn("range", _range(F.col("ranges")))
+    sums = part.groupBy(*NAMES, "range", "rest").agg(F.sum("n_tokens").alias("tokens"))
+    end = F.sum("tokens").over(Window.partitionBy(*NAMES).orderBy("range"))
+    over = sums.withColumn("end", end).filter("end > rest").groupBy(*NAMES).agg(F.min(F.struct("range", (F.col("end") - F.col("tokens")).alias("start"))).alias("at"))
+    over = stored(over.select(*NAMES, F.col("at.range").alias("cut"), "at.start"))
+    inner = part.join(hinted(over), NAMES).filter("range = cut")
+    so_far = F.sum("n_tokens").over(Window.partitionBy(*NAMES).orderBy("order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    inner = inner.withColumn("so_far", F.col("start") + so_far).filter("so_far <= rest")
+    last = inner.groupBy(*NAMES).agg(F.max(F.struct("order", "id", "n_tokens")).alias("last"))
+    return stored(plan.join(over.drop("start"), NAMES, "left").join(last, NAMES, "left"))
+
+
+def selected(rows: DataFrame, where: DataFrame, mix: Mix) -> DataFrame:
+    """``rows`` (id, domain, lang, source, n_tokens, ...) with ``epoch``, once for each epoch that takes them; nothing is shuffled by row."""
+    rows = rows.join(hinted(where), NAMES).withColumn("order", order_key(mix, F.col("whole"))).withColumn("range", _range(F.col("ranges")))
+    inside = F.col("cut").isNull() | (F.col("range") < F.col("cut")) | ((F.col("range") == F.col("cut")) & F.coalesce(F.struct("order", "id", "n_tokens") <= F.col("last"), F.lit(False)))
+    times = F.col("whole") + ((F.col("rest") > 0) & inside).cast("long")
+    rows = rows.withColumn("times", times).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return rows.drop("whole", "rest", "ranges", "cut", "last", "order", "range", "times")
+
+
+def mixed(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are selected, once for each epoch, with ``epoch`` and ``n_tokens``; texts stay where they are."""
+    where = cuts(counted(docs, mix, text, lang, source, key), mix)
+    packed = docs.select(row_id(docs, key), docs[text].cast("string").alias("text"), docs[lang].alias("lang"), docs[source].alias("source"), F.struct(*docs.columns).alias("row"))
+    names = leaf(mix, F.col("lang"), F.col("source"))
+    rows = with_tokens(packed).filter("__tokens > 0").select("id", "row", *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens"))
+    return selected(rows, where, mix).select("row.*", "epoch", "n_tokens")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix()
-    found = mixed(counted(documents(spark, sf_dir), mix), mix)
+    rows = counted(documents(spark, sf_dir), mix)
+    found = selected(rows, cuts(rows, mix), mix)
     return found.select(given_id().alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch")
 
 
