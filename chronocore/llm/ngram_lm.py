@@ -35,7 +35,7 @@ HEAD = 1 << 17
 PULL = 20.0
 FLOOR = 0.1
 #: Tokens that a task sums up before it sends counts on.
-SUM_TOKENS = 1 << 21
+SUM_TOKENS = 1 << 20
 END = 0xE17D0F7E87000001
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
