@@ -1,7 +1,10 @@
-"""Connected components of an undirected graph: minimum labels with pointer jumping, in joins and map-side minima."""
+"""Connected components of an undirected graph: local forests first, then minimum labels with pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,27 +12,73 @@ from chronocore.plans.storage import stored
 
 #: Rounds after which something is wrong: labels at least double their reach in each.
 MOST_ROUNDS = 200
+#: Nodes that a task holds at once.
+HELD = 1_000_000
+
+
+def _key(x):
+    return tuple(x.values()) if isinstance(x, dict) else x
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: each task joins the ends it sees, and names every node's least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        kept: dict = {}
+
+        def root(x):
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = up[p]
+                x = p
+            return x
+
+        def flush(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            if up:
+                nodes = list(up)
+                yield pa.RecordBatch.from_arrays([pa.array([kept[x] for x in nodes], kind), pa.array([kept[root(x)] for x in nodes], kind)], ["a", "b"])
+            up.clear()
+            kept.clear()
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = _key(a), _key(b)
+                kept[p], kept[q] = a, b
+                p, q = root(p), root(q)
+                if p < q:
+                    up[q] = p
+                elif q < p:
+                    up[p] = q
+            if len(up) >= HELD:
+                yield from flush(kind)
+        if kind is not None:
+            yield from flush(kind)
+
+    pairs = edges.select("a", "b")
+    return pairs.mapInArrow(run, pairs.schema)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); the component is its least node.
 
-    Each round a node takes the least label among itself and its neighbours, and then the label of that label. Nodes
-    with many edges are the side that AQE splits, and minima are taken in each task before the shuffle.
+    Tasks join what they see first, so that long chains become stars. Then, in each round, a node takes the least label
+    among itself and its neighbours, and then the label of that label. Nodes with many edges are the side that AQE
+    splits, and minima are taken in each task before the shuffle.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    stars = stored(contracted(edges))
+    both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct())
-    alone = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    alone = stars.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     for _ in range(MOST_ROUNDS):
         near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        step = stored(step)
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        step = stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("component"), "was"))
-        labels = step.select("node", "component")
-        if step.filter("component <> was").isEmpty():
+        step = stored(labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was")))
+        if step.filter("next <> was").isEmpty():
             break
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
+        labels = stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("component")))
     else:  # pragma: no cover
         raise RuntimeError("connected components did not settle")
     return labels.unionByName(alone.join(labels, "node", "left_anti").distinct())
