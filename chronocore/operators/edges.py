@@ -32,7 +32,7 @@ def first_seen(interactions: DataFrame, line: str = "line") -> DataFrame:
     """(raw, x): nodes numbered in the order in which lines name them, u before v; self loops name none."""
     rows = interactions.filter("u <> v")
     ends = rows.select(F.col("u").alias("raw"), (F.col(line) * 2).alias("at")).unionByName(rows.select(F.col("v").alias("raw"), (F.col(line) * 2 + 1).alias("at")))
-    return numbered(ends.groupBy("raw").agg(F.min("at").alias("at")), "at").select("raw", F.col("e").alias("x"))
+    return numbered(ends.groupBy("raw").agg(F.min("at").alias("at")), "at", "raw").select("raw", F.col("e").alias("x"))
 
 
 def interned(interactions: DataFrame, line: str = "line") -> DataFrame:

@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": f"{whole} SELECT e, u, v, t FROM edges",
         "text_edge_list": f"{whole} SELECT e, u, v, t FROM edges",
         "graph_sides": f"{whole} SELECT e, s, x, t FROM sides",
-        "nodes_first_seen": "WITH l AS (SELECT l_orderkey * 100 + l_linenumber AS line, l_suppkey AS u, l_partkey + 1000000000 AS v FROM lineitem), n AS (SELECT u AS raw, line * 2 AS p FROM l UNION ALL SELECT v, line * 2 + 1 FROM l) SELECT raw, row_number() OVER (ORDER BY min(p)) - 1 AS x FROM n GROUP BY raw",
+        "nodes_first_seen": "WITH l AS (SELECT l_orderkey * 100 + l_linenumber AS line, l_suppkey AS u, l_partkey + 1000000000 AS v FROM lineitem), n AS (SELECT u AS raw, line * 2 AS p FROM l UNION ALL SELECT v, line * 2 + 1 FROM l) SELECT raw, row_number() OVER (ORDER BY min(p), raw) - 1 AS x FROM n GROUP BY raw",
         "window_degrees": f"{whole} {degree.format(d=WIDE)}",
         "window_degrees_hub": f"{_graph(_EVENT)} {degree.format(d=HOUR)}",
         "h_round": f"""{whole}, deg AS ({degree.format(d=DELTA)}),
