@@ -9,7 +9,7 @@ pseudo-counts; both come from probes.
 The base score beside it is exact: counts of the most frequent tokens are broadcast (``HEAD`` tokens at most), those of
 all other tokens are joined by a shuffle, for which no token is frequent any more.
 
-Tokens are keyed by 64-bit hashes. Null texts are empty and hold the end token alone. Rows that repeat are scored
+Tokens are keyed by hashes of 63 bits. Null texts are empty and hold the end token alone. Rows that repeat are scored
 alike; null ids stay null, and their remainder is that of an empty text; no rows give no rows.
 """
 
@@ -36,7 +36,8 @@ PULL = 20.0
 FLOOR = 0.1
 #: Tokens that a task sums up before it sends counts on.
 SUM_TOKENS = 1 << 20
-END = 0xE17D0F7E87000001
+END = 0xE17D0F7E87000000
+PAIR = np.uint64(1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,29 +47,29 @@ def tokenized(part: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(part)
     starts = t.starts + np.arange(n + 1)
     hashes = np.full(starts[-1], END, np.uint64)
-    hashes[np.arange(len(t.hashes)) + t.owner] = t.hashes
+    hashes[np.arange(len(t.hashes)) + t.owner] = t.hashes & ~PAIR
     return hashes, starts
 
 
 def pairs(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The hash of each token and the one before it; that of a text's first token has no meaning."""
     before = np.concatenate([hashes[:1], hashes[:-1]])
-    return textops.mix(before * _PAIR + hashes)
+    return textops.mix(before * _PAIR + hashes) | PAIR
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """(size, gram, n) over all texts of ``rows``, stored; tasks send sums, not tokens."""
+    """(gram, n) over all texts of ``rows``, stored; tasks send sums, not tokens. The low bit of a gram tells pairs from tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = textops.byte_values()
         held: list[list[np.ndarray]] = [[], []]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for size, parts in enumerate(held, 1):
+            for parts in held:
                 grams, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
                 for at in range(0, len(grams), 200_000):
                     g, c = grams[at : at + 200_000], n[at : at + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int8)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["size", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["gram", "n"])
                 parts.clear()
 
         for b in batches:
@@ -82,8 +83,12 @@ def count(rows: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    sums = rows.select("text").mapInArrow(run, "size byte, gram long, n long")
-    return stored(sums.groupBy("size", "gram").agg(F.sum("n").alias("n")))
+    sums = rows.select("text").mapInArrow(run, "gram long, n long")
+    return stored(sums.groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def _pair() -> Column:
+    return F.col("gram").bitwiseAND(F.lit(1)) == 1
 
 
 def _level_hash(grams: np.ndarray, level: int) -> np.ndarray:
@@ -146,9 +151,9 @@ def fit(counts: DataFrame, bits: int = FILTER_BITS, shard_bits: int = SHARD_BITS
     """The filter over a stored table of counts."""
     shard_bits = min(bits, shard_bits)
     level = F.floor(F.log2("n") + 1e-12).cast("int")
-    by_level = counts.groupBy("size", level.alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()
-    tokens = sum(r["n"] for r in by_level if r["size"] == 1)
-    distinct = sum(r["grams"] for r in by_level if r["size"] == 1)
+    by_level = counts.groupBy(_pair().alias("pair"), level.alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()
+    tokens = sum(r["n"] for r in by_level if not r["pair"])
+    distinct = sum(r["grams"] for r in by_level if not r["pair"])
     room, least = (1 << bits) // BITS_PER_LEVEL, 64
     while least > 0 and room >= (need := sum(r["grams"] * (r["level"] + 1) for r in by_level if r["level"] == least - 1)):
         room, least = room - need, least - 1
@@ -176,7 +181,7 @@ def fit(counts: DataFrame, bits: int = FILTER_BITS, shard_bits: int = SHARD_BITS
 
 def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
     """(grams in order, their counts, the least count): tokens of one power of two and above, ``most`` at most."""
-    one = counts.filter("size = 1")
+    one = counts.filter(~_pair())
     level = F.floor(F.log2("n") + 1e-12).cast("int")
     by_level = sorted(((r["level"], r["count"]) for r in one.groupBy(level.alias("level")).count().collect()), reverse=True)
     least, room = 64, most
@@ -225,7 +230,7 @@ def score(docs: DataFrame, held_out: Column, bits: int = FILTER_BITS, most: int
     scored = stored(rows.mapInArrow(run, fields).withColumn("uid", F.monotonically_increasing_id()))
     # A rare token of a row is one line with its number of occurrences, and meets its count by a shuffle.
     rare = scored.select("uid", F.explode("tail").alias("gram")).groupBy("uid", "gram").agg(F.count("*").alias("times"))
-    scarce = counts.filter("size = 1").filter(F.floor(F.log2("n") + 1e-12) < least).select("gram", "n")
+    scarce = counts.filter(~_pair()).filter(F.floor(F.log2("n") + 1e-12) < least).select("gram", "n")
     seen = F.coalesce("n", F.lit(0))
     found = rare.join(scarce.hint("merge"), "gram", "left").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10((seen + FLOOR) / F.lit(under))).alias("rare_sum"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("n_rare")

@@ -84,7 +84,7 @@ def test_lm_scores(spark, tmp_path):
 
 
 def test_filter_holds_quantised_counts(spark):
-    counts = spark.createDataFrame([(1, i * 7919 + 1, 1 + i % 40) for i in range(3000)], "size byte, gram long, n long")
+    counts = spark.createDataFrame([(i * 7919 + 1, 1 + i % 40) for i in range(3000)], "gram long, n long")
     model = ngram_lm.fit(counts, bits=20, shard_bits=12)
     grams = np.array([i * 7919 + 1 for i in range(3000)], np.int64).view(np.uint64)
     truth = np.array([1 + i % 40 for i in range(3000)])
