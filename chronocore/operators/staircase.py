@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from chronocore.operators.edges import critical_radii, sides, slab
 from chronocore.plans.storage import stored
 
 #: Edges that a task may hold, copies included, and edges that a slab is meant to hold.
-SLAB_EDGES, TARGET = 2_000_000, 50_000
+SLAB_EDGES, TARGET = 2_000_000, 100_000
 TOP = 2**31 - 1
 MOST_ROUNDS = 10_000
 _STATE = "e long, u long, v long, t long, slab long, deltas array<long>, values array<int>, changed boolean"
@@ -100,9 +101,11 @@ def solve(u: np.ndarray, v: np.ndarray, t: np.ndarray, own: np.ndarray, at: Sequ
 
 def local_radii(u: np.ndarray, v: np.ndarray, t: np.ndarray, floor: int, dmax: int) -> np.ndarray:
     """``floor`` and the gaps over it, up to ``dmax``, that occur between two sides of a vertex; ascending."""
+    found = {floor}
+    if floor == dmax:
+        return np.array([floor], np.int64)
     s = Sides(u, v, t)
     _, hi = s.bounds(dmax)
-    found = {floor}
     step = 1
     at = np.arange(len(s.t))
     while True:
@@ -119,29 +122,29 @@ def local_radii(u: np.ndarray, v: np.ndarray, t: np.ndarray, floor: int, dmax: i
     return np.array(sorted(d for d in found if floor <= d <= dmax), np.int64)
 
 
-def _value_at(deltas: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The staircase at ascending scales."""
-    return values[np.searchsorted(deltas, at, "right") - 1]
-
-
 def _solver(floor: int, dmax: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        here = int(key[0])
-        pdf = pdf.sort_values("e", ignore_index=True)
-        u, v, t = (pdf[c].to_numpy(np.int64) for c in "uvt")
-        own = (pdf["home"] == here).to_numpy()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        here = key[0].as_py()
+        table = table.take(pa.array(np.argsort(table.column("e").to_numpy(), kind="stable"))).combine_chunks()
+        u, v, t = (table.column(c).to_numpy() for c in "uvt")
+        own = table.column("home").to_numpy() == here
+        steps, values = (table.column(c).combine_chunks() for c in ("deltas", "values"))
+        many = np.diff(steps.offsets.to_numpy())
+        steps, values = steps.flatten().to_numpy(), values.flatten().to_numpy().astype(np.int64)
         # Scales at which anything here can change: gaps between sides here, and steps of the copies.
-        at = np.unique(np.concatenate([local_radii(u, v, t, floor, dmax), *map(np.asarray, pdf["deltas"])])).astype(np.int64)
-        bounds = np.stack([_value_at(np.asarray(d), np.asarray(x), at) for d, x in zip(pdf["deltas"], pdf["values"], strict=True)], 1).astype(np.int64)
-        found = solve(u, v, t, own, at, bounds)
-        rows = []
-        for j in np.flatnonzero(own):
-            c = found[:, j]
-            step = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            d, x = at[step], c[step]
-            same = np.array_equal(d, pdf["deltas"][j]) and np.array_equal(x, pdf["values"][j])
-            rows.append((pdf["e"][j], u[j], v[j], t[j], here, d, x.astype(np.int32), not same))
-        return pd.DataFrame(rows, columns=["e", "u", "v", "t", "slab", "deltas", "values", "changed"])
+        at = np.unique(np.concatenate([local_radii(u, v, t, floor, dmax), steps]))
+        bounds = np.zeros((len(at), len(t)), np.int64)
+        bounds[np.searchsorted(at, steps), np.repeat(np.arange(len(t)), many)] = values
+        np.maximum.accumulate(bounds, axis=0, out=bounds)
+        found = solve(u, v, t, own, at, bounds)[:, own].T
+        new = np.ones(found.shape, bool)
+        new[:, 1:] = found[:, 1:] != found[:, :-1]
+        ends = pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32))
+        kept = table.filter(pa.array(own))
+        return pa.table({
+            **{c: kept.column(c) for c in "euvt"}, "slab": pa.array(np.full(len(kept), here)), "deltas": pa.ListArray.from_arrays(ends, pa.array(at[np.nonzero(new)[1]])),
+            "values": pa.ListArray.from_arrays(ends, pa.array(found[new].astype(np.int32))), "changed": pa.array((found != bounds[:, own].T).any(axis=1)),
+        })
 
     return run
 
@@ -178,7 +181,7 @@ def staircases(edges: DataFrame, floor: int, dmax: int, width: int | None = None
         copies = state.withColumnRenamed("slab", "home").withColumn("slab", F.explode(near))
         if active is not None:
             copies = copies.join(active, "slab", "left_semi")
-        solved = copies.groupBy("slab").applyInPandas(_solver(floor, dmax), _STATE)
+        solved = copies.groupBy("slab").applyInArrow(_solver(floor, dmax), _STATE)
         if active is not None:  # slabs without a change beside them stay as they are
             solved = solved.unionByName(state.join(active, "slab", "left_anti").withColumn("changed", F.lit(False)))
         state = stored(solved)
