@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,27 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Bytes of an Arrow batch while a table is stored: both sides of a Python worker hold a few batches each.
-BATCH_BYTES = "16m"
+#: Bytes of an Arrow batch. A task holds a batch several times over, on both sides of its Python worker.
+BATCH_BYTES = 16 << 20
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def lean(spark: SparkSession) -> None:
+    """Lower the session's limit for Arrow batches to ``BATCH_BYTES``; a lower one stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(size: str) -> int:
+    number = size.rstrip("bBkKmMgGtT")
+    unit = size[len(number) :].lower()[:1]
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronocore/{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    lean(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
