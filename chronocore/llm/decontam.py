@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, row_id
+from chronocore.plans.storage import lean
 
 SEED, LEAST = 4, 0.6
 #: Items in a block, a few MB; and the documents that may hold a rare seed, in a million (50 at least).
@@ -207,6 +208,7 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, item_id, similarity, last_word) of every document and item that align; similarity is the score over the item's length."""
+    lean(docs.sparkSession)
     rows = _rows(docs, text, key)
     kind = benchmark.schema["item_id"].dataType
     found = []
@@ -234,6 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold a test item; rows are judged where they stand."""
+    lean(docs.sparkSession)
     at = docs.columns.index(text)
     out = docs
     for _, texts in blocks_of(benchmark):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import fuse
 from chronocore.llm.shared import documents, given_id, row_id
-from chronocore.plans.storage import hinted, stored
+from chronocore.plans.storage import hinted, lean, stored
 
 #: Digests that share a filter, about.
 KEYS_PER_FILTER = 16_384
@@ -105,6 +105,8 @@ def merged(snapshot: Snapshot, screened: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, digest: Digest, text: str, key: str) -> DataFrame:
+    lean(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             normal = _normal(b.column(1))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
+from chronocore.plans.storage import lean
 
 BUCKETS, SIZES = 1 << 16, (2, 3)
 #: Labelled rows that training reads, about; the draw is by a hash of the id, and never depends on the order of rows.
@@ -113,6 +114,7 @@ def sample(rows: DataFrame, total: int, bound: int = SAMPLE_ROWS) -> DataFrame:
 
 def learn(docs: DataFrame, use: Column | None = None, bound: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from the rows that ``use`` selects and that have a text and a language."""
+    lean(docs.sparkSession)
     chosen = docs.filter(docs[text].isNotNull() & docs[lang].isNotNull())
     chosen = chosen.filter(use) if use is not None else chosen
     rows = chosen.select(row_id(docs, key), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))
@@ -133,6 +135,7 @@ def scores(points: np.ndarray, letter: np.ndarray, offsets: np.ndarray, model: M
 
 def predict(docs: DataFrame, model: Model, carry: Column | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, carry, lang_pred, score) of every row."""
+    lean(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.langs, model.table, model.prior))
 

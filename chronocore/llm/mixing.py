@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, row_id
-from chronocore.plans.storage import hinted, stored
+from chronocore.plans.storage import hinted, lean, stored
 
 NAMES = ["domain", "lang", "source"]
 RANGE_DOCS = 4096
@@ -57,6 +57,7 @@ def _weight(weights: Mapping[str, int], name: Column) -> Column:
 
 def with_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__tokens``: the number of its tokens, which end at white space."""
+    lean(docs.sparkSession)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("__tokens", T.LongType())])
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
-from chronocore.plans.storage import stored
+from chronocore.plans.storage import lean, stored
 
 #: 2^28 bits are 32 MB on each worker; a shard's bits are set by one task.
 FILTER_BITS, SHARD_BITS, PROBES, BITS_PER_LEVEL = 28, 20, 5, 9
@@ -197,6 +197,7 @@ def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, i
 
 def score(docs: DataFrame, held_out: Column, bits: int = FILTER_BITS, most: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    lean(docs.sparkSession)
     rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     counts = count(rows.filter(~F.col("held_out")))
     model = fit(counts, bits)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, row_id
+from chronocore.plans.storage import lean
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -302,6 +303,7 @@ def all_spans(base: Sequence[Span], added: Sequence[Span]) -> list[Span]:
 
 def find(docs: DataFrame, table: Sequence[str] = TABLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, base, spans) of every row: arrays of (kind, start, end)."""
+    lean(docs.sparkSession)
     field = train(table)
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.weights, field.moves))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
