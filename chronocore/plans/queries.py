@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronocore.operators import communities, edges, forest, index, merges, staircase, sweep
 from chronocore.plans.graphs import customer_supplier, supplier_part, user_event
-from chronocore.plans.storage import shared_dir, stored
+from chronocore.plans.storage import session_dir, stored
 from chronocore.sources import edge_list, index_files
 
 #: Scales in days; the index goes from 0 to DMAX. SQL solves each scale apart, so DMAX is small.
@@ -249,7 +249,7 @@ def community_grid(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/chronocore/{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def text_edge_list(spark, d):

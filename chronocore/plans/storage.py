@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this session's tables."""
+    return f"{shared_dir(spark)}/chronocore/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this session's tables. Results that were not written anywhere else can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of an Arrow batch. A task holds a batch several times over, on both sides of its Python worker.
 BATCH_BYTES = 16 << 20
 
@@ -41,7 +52,7 @@ def _bytes(size: str) -> int:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronocore/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     lean(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
