@@ -213,7 +213,7 @@ def score(docs: DataFrame, held_out: Column, bits: int = FILTER_BITS, most: int
         known = np.append(np.log10((n + FLOOR) / under), 0.0)
         lists = pa.list_(pa.int64())
         for b in batches:
-            for first, part in textops.blocks(b.column(2)):
+            for first, part in textops.blocks(b.column(2), textops.WIDE_BYTES):
                 hashes, starts = tokenized(part, values)
                 owner = np.repeat(np.arange(len(part)), np.diff(starts))
                 at = np.searchsorted(grams, hashes)

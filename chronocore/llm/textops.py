@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that are worked on at once; a longer text is worked on alone.
-BLOCK_BYTES = 1 << 20
+#: Bytes that are worked on at once, so that arrays of a few numbers for each byte stay small; a longer text is worked
+#: on alone. WIDE_BYTES is for work with a cost for each block.
+BLOCK_BYTES, WIDE_BYTES = 1 << 17, 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
