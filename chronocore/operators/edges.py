@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocore.functions.columns import h_index, slab
 from chronocore.plans.storage import stored
 
 
@@ -43,16 +44,18 @@ def interned(interactions: DataFrame, line: str = "line") -> DataFrame:
     return canonical(rows.select(F.col("xu").alias("u"), F.col("xv").alias("v"), "t"))
 
 
+def rebased(interactions: DataFrame) -> DataFrame:
+    """The same with times counted from the first one: no result depends on it, and times near the largest whole number fit."""
+    first = interactions.agg(F.min("t").alias("first"))
+    return interactions.crossJoin(F.broadcast(first)).withColumn("t", F.col("t") - F.col("first")).drop("first")  # one row
+
+
 def sides(edges: DataFrame, *carry: str) -> DataFrame:
     """(e, s, x, t): two rows for each edge, one for each of its ends."""
     ends = F.array(F.struct(F.lit(0).alias("s"), F.col("u").alias("x")), F.struct(F.lit(1).alias("s"), F.col("v").alias("x")))
     return edges.select("e", "t", *carry, F.explode(ends).alias("end")).select("e", "end.s", "end.x", "t", *carry)
 
 
-def slab(t: Column, width: int) -> Column:
-    return F.floor(t / F.lit(width))
-
-
 def window_degrees(edges: DataFrame, delta: int) -> DataFrame:
     """(e, degree): the least, over both ends, of the number of edges there within ``delta`` of t, itself included.
 
@@ -67,12 +70,6 @@ def window_degrees(edges: DataFrame, delta: int) -> DataFrame:
     return counted.groupBy("e").agg(F.min("n").alias("degree"))
 
 
-def h_index(values: Column) -> Column:
-    """The largest h such that at least h of the values are h or more."""
-    down = F.sort_array(values, asc=False)
-    return F.size(F.filter(F.transform(down, lambda y, i: y >= i + 1), lambda z: z)).cast("int")
-
-
 def h_round(edges: DataFrame, values: DataFrame, delta: int) -> DataFrame:
     """(e, h): one round of the core fixpoint, the least over both ends of the h-index of the values in the window."""
     width = max(1, 4 * delta)

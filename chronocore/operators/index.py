@@ -9,13 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AREA = "decimal(38,0)"
-
-
-def value_at(deltas: Column, values: Column, delta: Column) -> Column:
-    """The step function at ``delta``: the last value whose scale is at most ``delta``."""
-    return F.get(values, F.size(F.filter(deltas, lambda d: d <= delta)) - 1)
-
+from chronocore.functions.columns import AREA, area_to, onset_of, value_at
 
 def guarded(value: Column, delta: Column, floor: int, dmax: int, strict: bool) -> Column:
     inside = (delta >= floor) & (delta <= dmax)
@@ -34,11 +28,6 @@ def onset(index: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(index, "e").select("e", "k", onset_of(F.col("deltas"), F.col("values"), F.col("k")).alias("delta"))
 
 
-def onset_of(deltas: Column, values: Column, k: Column) -> Column:
-    below = F.size(F.filter(values, lambda v: v < k))
-    return F.when(below == 0, F.lit(0).cast("long")).otherwise(F.get(deltas, below))
-
-
 def snapshot(index: DataFrame, delta: int, floor: int, dmax: int) -> DataFrame:
     """(e, c) of every edge at one scale."""
     if not floor <= delta <= dmax:
@@ -46,12 +35,6 @@ def snapshot(index: DataFrame, delta: int, floor: int, dmax: int) -> DataFrame:
     return index.select("e", value_at(F.col("deltas"), F.col("values"), F.lit(delta)).alias("c"))
 
 
-def area_to(deltas: Column, values: Column, delta: Column) -> Column:
-    """The sum of the step function over the whole scales from its first to ``delta`` - 1."""
-    steps = F.transform(deltas, lambda d, i: (F.greatest(F.least(F.coalesce(F.get(deltas, i + 1), delta), delta) - F.least(d, delta), F.lit(0)).cast(AREA) * F.get(values, i)).cast(AREA))
-    return F.aggregate(steps, F.lit(0).cast(AREA), lambda a, b: (a + b).cast(AREA))
-
-
 def area(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(e, a, b, area) of each query (e, a, b), a <= b: the sum of the core numbers at the scales a .. b - 1."""
     d, v = F.col("deltas"), F.col("values")

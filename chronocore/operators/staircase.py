@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronocore.operators.edges import critical_radii, sides, slab
+from chronocore.functions.columns import slab
+from chronocore.operators.edges import critical_radii, sides
 from chronocore.plans.storage import stored
 
 #: Edges that a task may hold, copies included, and edges that a slab is meant to hold.

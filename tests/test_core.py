@@ -156,3 +156,30 @@ def test_empty_and_level_spans(spark, golden):
     assert rows(staircase.staircases(none, 0, 3)) == []
     assert rows(merges.build(none, ix)) == []
     assert tuple(merges.level_spans(merges.build(g, ix)).first())[:3] == (16, 9, 9)
+
+
+def test_columns(spark):
+    from chronocore.functions.columns import MOST, h_index, scaled, window
+
+    df = spark.createDataFrame([([5, 4, 3, 1], 7, 10), ([], MOST, 3), ([1, 1], 2, MOST)], "a array<int>, t long, d long")
+    assert [r[0] for r in df.select(h_index(F.col("a"))).collect()] == [3, 0, 1]
+    lo, hi = window(F.col("t"), F.col("d"))
+    assert rows(df.select(lo, hi)) == sorted([(0, 17), (MOST - 3, MOST), (0, MOST)])
+    assert [r[0] for r in df.select(scaled(F.col("t"), 3, 4)).collect()] == [5, MOST * 3 // 4, 1]
+
+
+def test_times_near_the_largest_number(spark):
+    late = 2**63 - 20
+    g = spark.createDataFrame([(u, v, t + late) for _, u, v, t in EDGES], "u long, v long, t long")
+    found = stored(edges.canonical(edges.rebased(g)))
+    assert rows(found) == EDGES
+    assert rows(staircase.staircases(found, 0, 9)) == [(e, *s) for e, s in enumerate(STEPS)]
+
+
+def test_star_and_one_time(spark):
+    star = spark.createDataFrame([(0, i, i % 7) for i in range(1, 200)], "u long, v long, t long")
+    g = stored(edges.canonical(star))
+    assert {r.c for r in staircase.core_numbers(g, 3).collect()} == {1}
+    assert edges.window_degrees(g, 6).agg(F.max("degree")).first()[0] == 1
+    same = stored(edges.canonical(spark.createDataFrame([(a, b, 5) for a in range(5) for b in range(a)] + [(3, 3, 5)], "u long, v long, t long")))
+    assert rows(staircase.staircases(same, 0, 0)) == [(e, [0], [4]) for e in range(10)]
