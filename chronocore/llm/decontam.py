@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment of words decides.
+"""Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman alignment of words decides.
 
-All windows of ``SEED`` words of a test item are looked up in every document, and the number of documents that hold
-each is counted over the whole corpus. An item's seeds are those found in few documents, and in any case the rarer half
-of its windows, so that an item leaked to many documents keeps its seeds. A document that holds a seed is aligned with
-the item around it (match 1, mismatch and gap -1); it is contaminated if the best score is at least ``LEAST`` of the
-item's length, which is what a copy with a fifth of its words replaced scores.
+All windows of ``SEED`` words of a test item are its seeds, however many documents hold them, and are looked up in every
+document. Around each seed found lies a stretch that holds every alignment through it that can be good enough. If that
+has enough words of the item, it is aligned with the item (match 1, mismatch and gap -1); else no alignment in it can
+score enough. A document is contaminated if the best score is at least ``LEAST`` of the item's length, which is what a
+copy with a fifth of its words replaced scores. A copy that shares no window of ``SEED`` words with its item isn't seen.
 
 Test items go to the workers in blocks of ``BLOCK_ITEMS``, one pass over the documents for each block; documents are
 never shuffled. Null and empty texts match nothing. Items of fewer than ``SEED`` words can't be told from chance and
@@ -28,10 +28,10 @@ from chronocore.llm.shared import documents, given_id, row_id
 from chronocore.plans.storage import lean
 
 SEED, LEAST = 4, 0.6
-#: Items in a block, a few MB; and the documents that may hold a rare seed, in a million (50 at least).
-BLOCK_ITEMS, RARE_PER_MILLION, RARE = 20_000, 1000, 50
-#: Cells of an alignment that are held at once.
-CELLS = 1 << 21
+#: Items in a block, a few MB.
+BLOCK_ITEMS = 20_000
+#: Cells of an alignment, and seeds found, that are held at once; a document is never parted.
+CELLS, FOUND = 1 << 21, 1 << 19
 
 
 class Items:
@@ -48,11 +48,6 @@ class Items:
         order = np.argsort(grams[keep], kind="stable")
         self.grams, self.item, self.place = grams[keep][order], item[keep][order], place[keep][order]
 
-    def only(self, keep: np.ndarray) -> Items:
-        out = object.__new__(Items)
-        out.words, out.grams, out.item, out.place = self.words, self.grams[keep], self.item[keep], self.place[keep]
-        return out
-
     def parts(self) -> tuple:
         return self.words, self.grams, self.item, self.place
 
@@ -102,6 +97,33 @@ def smith_waterman(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
+def enough_words(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items, least: float) -> np.ndarray:
+    """Whether each stretch low..high has, for ``least`` of the item's length, enough of its words, each as often as in the item."""
+    good = np.zeros(len(low), bool)
+    width = high - low
+    cuts = np.searchsorted(np.cumsum(width), np.arange(CELLS, int(width.sum()) + CELLS, CELLS))
+    at = 0
+    for to in [*np.unique(np.maximum(cuts, 1)).tolist(), len(low)]:
+        if to <= at:
+            continue
+        n = width[at:to]
+        stretch = np.repeat(np.arange(to - at), n)
+        words = hashes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)]
+        own = [items.words[i] for i in item[at:to]]
+        size = np.array([len(w) for w in own])
+        # The mark of a word and its stretch; equal marks by chance could only make the bound larger.
+        ours = textops.mix(words + textops.mix(stretch.astype(np.uint64)))
+        theirs = np.concatenate(own)
+        of = np.repeat(np.arange(to - at), size)
+        kinds, first, times = np.unique(textops.mix(theirs + textops.mix(of.astype(np.uint64))), return_index=True, return_counts=True)
+        spot = np.minimum(np.searchsorted(kinds, ours), len(kinds) - 1)
+        there = np.bincount(spot[kinds[spot] == ours], minlength=len(kinds))
+        common = np.bincount(of[first], np.minimum(there, times), minlength=to - at)
+        good[at:to] = common >= least * size
+        at = to
+    return good
+
+
 def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray, least: float = LEAST) -> list[tuple[int, int, float, int]]:
     """(row, item, score over the item's length, last word) of every passage that aligns well enough; the best for each row and item."""
     t, grams, starts = _windows(part, values)
@@ -109,14 +131,30 @@ def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray, le
     if not len(hit):
         return []
     row = np.searchsorted(starts, hit, "right") - 1
-    spot = hit - starts[row] + t.starts[row]
     first, last = np.searchsorted(items.grams, grams[hit]), np.searchsorted(items.grams, grams[hit], "right")
+    many = np.cumsum(last - first)
+    found, at = [], 0
+    while at < len(hit):
+        before = many[at - 1] if at else 0
+        to = max(int(np.searchsorted(many, before + FOUND, "right")), at + 1)
+        # Whole documents: back to where the last one begins, or on to where the only one ends.
+        if to < len(hit) and row[to] == row[to - 1]:
+            begin = int(np.searchsorted(row, row[to]))
+            to = begin if begin > at else int(np.searchsorted(row, row[to], "right"))
+        found += _aligned(t, hit[at:to] - starts[row[at:to]] + t.starts[row[at:to]], row[at:to], first[at:to], last[at:to], items, least)
+        at = to
+    return found
+
+
+def _aligned(t: textops.Tokens, spot: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, items: Items, least: float) -> list[tuple[int, int, float, int]]:
+    """matches() for seeds at the words ``spot`` of documents ``row``; their grams are ``first`` .. ``last`` - 1 of the items'."""
     many = last - first
     which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     row, spot, item = np.repeat(row, many), np.repeat(spot, many), items.item[which]
     begin = spot - items.place[which]
     size = np.array([len(w) for w in items.words])[item]
-    slack = size // 4 + 2
+    # A score of least * size leaves room for so many words too many on either side.
+    slack = ((1 - least) * size + 1e-9).astype(np.int64) + 2
     low = np.maximum(begin - slack, t.starts[row])
     # Seeds of one item whose windows lie close make one window.
     order = np.lexsort((low, item, row))
@@ -126,6 +164,8 @@ def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray, le
     fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] - low[:-1] > slack[1:])
     heads = np.flatnonzero(fresh)
     low, high, row, item, size = low[heads], np.maximum.reduceat(high, heads), row[heads], item[heads], size[heads]
+    good = enough_words(t.hashes, low, high, item, items, least)
+    low, high, row, item, size = low[good], high[good], row[good], item[good], size[good]
     found: dict[tuple[int, int], tuple[float, int]] = {}
     order = np.lexsort((high - low, size))
     at = 0
@@ -152,46 +192,6 @@ def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray, le
     return [(r, i, *v) for (r, i), v in sorted(found.items())]
 
 
-def document_counts(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """(number of documents that hold each gram of ``items``, number of documents), over all of ``rows`` (text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(items.grams)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, values = np.unique(shared.value), textops.byte_values()
-        screen, n, docs = Screen(grams), np.zeros(len(grams), np.int64), 0
-        for b in batches:
-            docs += len(b)
-            for _, part in textops.blocks(b.column(0)):
-                _, found, starts = _windows(part, values)
-                hit = screen.hits(found)
-                row = np.searchsorted(starts, hit, "right") - 1
-                once = np.unique(np.stack([row, np.searchsorted(grams, found[hit])]), axis=1)
-                n += np.bincount(once[1], minlength=len(grams))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(n[at], docs).astype(np.int64))], ["gram", "n"])
-
-    sums = rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    grams = np.unique(items.grams)
-    n = np.zeros(len(grams) + 1, np.int64)
-    for r in sums:
-        n[r["gram"]] = r["n"]  # -1, the last: all documents
-    return n[np.searchsorted(grams, items.grams)], int(n[-1])
-
-
-def rare_seeds(rows: DataFrame, items: Items) -> Items:
-    """``items`` with its rare seeds alone."""
-    if not len(items.grams):
-        return items
-    n, docs = document_counts(rows, items)
-    order = np.lexsort((items.place, n, items.item))
-    item = items.item[order]
-    first = np.searchsorted(item, item)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - first
-    half = (np.bincount(items.item)[items.item] + 1) // 2
-    return items.only((n <= max(RARE, docs * RARE_PER_MILLION // 1_000_000)) | (rank < half))
-
-
 def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[tuple[list, list[str | None]]]:
     """(ids, texts) of at most about ``BLOCK_ITEMS`` items at a time."""
     rows = benchmark.select(benchmark[key].alias("item"), benchmark[text].cast("string").alias("text"))
@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
     kind = benchmark.schema["item_id"].dataType
     found = []
     for names, texts in blocks_of(benchmark):
-        items = rare_seeds(rows, Items(texts))
+        items = Items(texts)
         shared = docs.sparkSession.sparkContext.broadcast((names, items.parts()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
     at = docs.columns.index(text)
     out = docs
     for _, texts in blocks_of(benchmark):
-        items = rare_seeds(_rows(docs, text, key), Items(texts))
+        items = Items(texts)
         shared = docs.sparkSession.sparkContext.broadcast(items.parts())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

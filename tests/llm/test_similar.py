@@ -161,6 +161,20 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(r.id, r.item_id) for r in found.collect()} == {(i, i) for i in range(12)}
 
 
+def test_many_edited_copies_of_an_item(spark):
+    r = random.Random(21)
+    item = text(23, r).split()
+    worn = [f"x{i}" if i in (4, 9, 14, 18) else w for i, w in enumerate(item)]
+    split = text(100, r).split()
+    wide = split[:50] + [f"y{i}" for i in range(34)] + split[50:]
+    rows = [(i, f"{text(20, r)} {' '.join(worn)} {text(20, r)}") for i in range(60)]
+    rows += [(100 + i, text(80, r)) for i in range(5)] + [(200, f"{text(30, r)} {' '.join(wide)} {text(30, r)}"), (300, " ".join(item[:6] + ["z"] * 30))]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(split))], "item_id long, text string")
+    found = {(x.id, x.item_id): round(x.similarity * (23 if x.item_id == 1 else 100)) for x in decontam.leaks(docs(spark, rows), benchmark).collect()}
+    assert found == {(i, 1): 15 for i in range(60)} | {(200, 2): 66}
+    assert sorted(x.doc_id for x in decontam.clean(docs(spark, rows), benchmark).collect()) == [*range(100, 105), 300]
+
+
 def test_smith_waterman():
     r = random.Random(1)
     for _ in range(500):
