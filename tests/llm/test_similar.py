@@ -136,6 +136,26 @@ def test_passages(spark):
     assert passages.repeated_passages(docs(spark, rows).limit(0)).count() == 0
 
 
+def replaced(words, places):
+    return [f"z{R.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_edited_passages_are_aligned_whole():
+    r, hashes = random.Random(31), {}
+    coded = lambda words: np.array([hashes.setdefault(w, len(hashes)) for w in words], np.uint32)
+    for n, places in ((51, {25}), (52, {1, 50}), (60, {10, 15, 20, 40, 45, 58}), (80, set(range(5, 80, 10))), (100, {*range(6, 99, 6)} - {96})):
+        shared, before, after = text(n, r).split(), text(30, r).split(), text(30, r).split()
+        a = coded(before + shared + after)
+        b = coded(text(12, r).split() + replaced(shared, places) + text(40, r).split())
+        assert passages.common_passages(a, b) == [(30, 30 + n, 12, 12 + n)], n
+    for n in (40, 49):
+        shared = text(n, r).split()
+        assert not passages.common_passages(coded(text(30, r).split() + shared), coded(shared + text(30, r).split()))
+    one, two = text(60, r).split(), text(70, r).split()
+    a, b = one + text(200, r).split() + two, two[:35] + ["q1", "q2"] + two[35:] + text(90, r).split() + one
+    assert passages.common_passages(coded(a), coded(b)) == [(260, 330, 0, 72), (0, 60, 162, 222)]
+
+
 def test_benchmark_leaks(spark):
     items = [(i, text(R.randint(15, 40))) for i in range(30)] + [(90, None), (91, ""), (92, "w1 w2"), (93, "")]
     rows = [(i, f"{text(40)} {items[i][1]} {text(30)}") for i in range(10)]
