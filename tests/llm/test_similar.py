@@ -96,6 +96,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_ids_are_judged_by_text(spark):
+    r = random.Random(41)
+    one, two, clean = text(50, r), text(50, r), text(50, r)
+    rows = [(1, one), (5, one + " end"), (5, clean), (6, one + " other"), (8, two), (8, two + " more"), (None, one + " null")]
+    kept = Counter((x.doc_id, x.text) for x in near.keep_one(docs(spark, rows[:6])).collect())
+    assert kept[1, one] == kept[5, clean] == 1 and not kept[5, one + " end"] and not kept[6, one + " other"]
+    assert kept[8, two] + kept[8, two + " more"] == 1 and kept.total() == 3
+    assert {(x.doc_id, x.text) for x in near.keep_one(docs(spark, rows)).collect()} >= {(None, one + " null"), (5, clean)}
+
+
 def test_large_groups_go_on_without_loss(spark, monkeypatch):
     for name, value in (("FEW", 2), ("BLOCK_DEPTH", 4), ("BLOCK", 3), ("DEPTH", 3), ("LEADERS", 2)):
         monkeypatch.setattr(near, name, value)
