@@ -1,10 +1,10 @@
 """Language-model scores: a log-frequency Bloom filter of quantised one- and two-token counts, broadcast to the workers.
 
 A count c is held as the levels 1 .. 1 + floor(log2 c) of its n-gram; a probe goes up the levels until one is missing,
-and the last one found is the count, quantised. The filter has a fixed number of bits, and so a proven size. Of the
-n-grams counted (always over all training rows), those from the least power of two on are held whose levels fit at
-``BITS_PER_LEVEL`` each; the others back off, like unseen ones. P(w | v) is smoothed towards P(w) with ``PULL``
-pseudo-counts; both come from probes.
+and the last one found is the count, quantised. The filter has ``BITS_PER_LEVEL`` for each level of the n-grams counted
+(always over all training rows), so it holds them all and grows with them. If it is given a number of bits, those from
+the least power of two on are held whose levels fit, and the others back off, like unseen ones. P(w | v) is smoothed
+towards P(w) with ``PULL`` pseudo-counts; both come from probes.
 
 The base score beside it is exact: counts of the most frequent tokens are broadcast (``HEAD`` tokens at most), those of
 all other tokens are joined by a shuffle, for which no token is frequent any more.
@@ -29,8 +29,8 @@ from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
 from chronocore.plans.storage import lean, stored
 
-#: 2^28 bits are 32 MB on each worker; a shard's bits are set by one task.
-FILTER_BITS, SHARD_BITS, PROBES, BITS_PER_LEVEL = 28, 20, 5, 9
+#: A shard's bits are set by one task.
+SHARD_BITS, PROBES, BITS_PER_LEVEL = 20, 5, 9
 HEAD = 1 << 17
 PULL = 20.0
 FLOOR = 0.1
@@ -102,14 +102,14 @@ def _places(h: np.ndarray, shard_bits: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PROBES)]
 
 
-def _shards(grams: np.ndarray, bits: int, shard_bits: int) -> np.ndarray:
-    """All levels of an n-gram are in one shard."""
-    return (textops.mix(grams ^ _PAIR) >> np.uint64(64 - (bits - shard_bits))).astype(np.int64) if bits > shard_bits else np.zeros(len(grams), np.int64)
+def _shards(grams: np.ndarray, shards: int) -> np.ndarray:
+    """All levels of an n-gram are in one of the ``shards``, 2^32 at most."""
+    return ((textops.mix(grams ^ _PAIR) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    bits: int
+    shards: int
     shard_bits: int
     data: np.ndarray
     tokens: int
@@ -120,7 +120,7 @@ class Model:
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Quantised counts, by repeated probes: the middle of the range of the last level that is found; 0 if none is."""
         level, alive = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        base = _shards(grams, self.bits, self.shard_bits) << self.shard_bits
+        base = _shards(grams, self.shards) << self.shard_bits
         for j in range(1, 64):
             h = _level_hash(grams[alive], j)
             there = np.ones(len(alive), bool)
@@ -147,14 +147,19 @@ class Model:
         return np.add.reduceat(np.log10(chance), first)
 
 
-def fit(counts: DataFrame, bits: int = FILTER_BITS, shard_bits: int = SHARD_BITS) -> Model:
-    """The filter over a stored table of counts."""
-    shard_bits = min(bits, shard_bits)
+def fit(counts: DataFrame, bits: int | None = None, shard_bits: int = SHARD_BITS) -> Model:
+    """The filter over a stored table of counts, of all that it needs or of 2^``bits`` bits."""
     level = F.floor(F.log2("n") + 1e-12).cast("int")
     by_level = counts.groupBy(_pair().alias("pair"), level.alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()
     tokens = sum(r["n"] for r in by_level if not r["pair"])
     distinct = sum(r["grams"] for r in by_level if not r["pair"])
-    room, least = (1 << bits) // BITS_PER_LEVEL, 64
+    if bits is None:
+        levels = sum(r["grams"] * (r["level"] + 1) for r in by_level)
+        shards, room = max(-(-levels * BITS_PER_LEVEL >> shard_bits), 1), levels
+    else:
+        shard_bits = min(bits, shard_bits)
+        shards, room = 1 << (bits - shard_bits), (1 << bits) // BITS_PER_LEVEL
+    least = 64
     while least > 0 and room >= (need := sum(r["grams"] * (r["level"] + 1) for r in by_level if r["level"] == least - 1)):
         room, least = room - need, least - 1
 
@@ -168,15 +173,15 @@ def fit(counts: DataFrame, bits: int = FILTER_BITS, shard_bits: int = SHARD_BITS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard = _shards(b.column(0).to_numpy().view(np.uint64), bits, shard_bits)
+            shard = _shards(b.column(0).to_numpy().view(np.uint64), shards)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard.astype(np.int32))], ["gram", "level", "shard"])
 
     held = counts.select("gram", level.alias("level")).filter(F.col("level") >= least).mapInArrow(place, "gram long, level int, shard int")
-    data = np.zeros(1 << max(bits - 3, 0), np.uint8)
     width = max(1 << (shard_bits - 3), 1)
+    data = np.zeros(shards * width, np.uint8)
     for row in held.groupBy("shard").applyInPandas(fill, "shard int, bits binary").toLocalIterator():
         data[row["shard"] * width : (row["shard"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return Model(bits, shard_bits, data, tokens, distinct, 1 << least if least < 64 else 0)
+    return Model(shards, shard_bits, data, tokens, distinct, 1 << least if least < 64 else 0)
 
 
 def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
@@ -195,7 +200,7 @@ def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, i
     return grams[order], n[order], least
 
 
-def score(docs: DataFrame, held_out: Column, bits: int = FILTER_BITS, most: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, bits: int | None = None, most: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     lean(docs.sparkSession)
     rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
@@ -204,7 +209,7 @@ def score(docs: DataFrame, held_out: Column, bits: int = FILTER_BITS, most: int
     total, distinct = model.tokens, model.distinct
     grams, n, least = head(counts, most)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.bits, model.shard_bits, model.data, total, distinct, model.least))
+    shared = context.broadcast((model.shards, model.shard_bits, model.data, total, distinct, model.least))
     frequent = context.broadcast((grams, n))
     under = total + FLOOR * (distinct + 1)
 

@@ -95,6 +95,18 @@ def test_filter_holds_quantised_counts(spark):
     assert ngram_lm.fit(counts, bits=14, shard_bits=12).least > 1  # too small for all: rare ones back off
 
 
+def test_filter_grows_with_the_counts(spark):
+    r = random.Random(17)
+    for n in (0, 3000, 40_000):
+        grams = [r.randrange(-(2**62), 2**62) for _ in range(n)]
+        counts = spark.createDataFrame([(g, 1 + i % 5) for i, g in enumerate(grams)], "gram long, n long")
+        model = ngram_lm.fit(counts, shard_bits=12)
+        held = model.counts(np.array(grams, np.int64).view(np.uint64))
+        assert model.least <= 1 and (held > 0).all()
+        levels = sum((1 + i % 5).bit_length() for i in range(n))
+        assert levels * 9 <= 8 * len(model.data) <= levels * 9 + (1 << 12)
+
+
 def test_url_rules_and_model(spark, tmp_path):
     rows = [
         "https://www.Example.ORG/es/1", "http://example.org/en/17?x", "http://a.org", "http://a.org/", "https://x.com/fr/2", "https://x.com/de/2", "http://notcom/fr/", "http://com/fr/", "http://m.casino-win.example.net/en/5",
