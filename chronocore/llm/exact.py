@@ -98,10 +98,26 @@ def screen(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
 
 
 def merged(snapshot: Snapshot, screened: DataFrame) -> DataFrame:
-    """Groups of more than one row over snapshot and batch; only positives meet the exact buckets."""
-    exact = snapshot.groups.unionByName(screened.filter("positive").drop("positive"))
-    exact = exact.groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
-    return exact.unionByName(screened.filter("not positive").drop("positive")).filter("n > 1")
+    """Groups of more than one row over snapshot and batch; only positives meet the exact buckets, by their digests."""
+    positive = stored(screened.filter("positive").select("digest", F.col("keep").alias("new"), F.col("n").alias("more")))
+    known = snapshot.groups.join(hinted(positive), "digest", "left")
+    known = known.select("digest", F.greatest("keep", F.coalesce("new", "keep")).alias("keep"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    # A positive that the snapshot doesn't hold, and groups that are new for certain.
+    wrong = positive.filter("more > 1").join(snapshot.groups, "digest", "left_anti").select("digest", F.col("new").alias("keep"), F.col("more").alias("n"))
+    return known.unionByName(wrong).unionByName(screened.filter("not positive").drop("positive")).filter("n > 1")
+
+
+def save(snapshot: Snapshot, path: str) -> None:
+    """Write a snapshot to a folder, for batches to come."""
+    snapshot.groups.write.parquet(f"{path}/groups")
+    snapshot.filters.withColumn("buckets", F.lit(snapshot.buckets)).write.parquet(f"{path}/filters")
+
+
+def load(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot from save()."""
+    groups, filters = spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/filters")
+    row = filters.first()
+    return Snapshot(groups, filters.drop("buckets"), row["buckets"] if row else 1)
 
 
 def _texts(docs: DataFrame, digest: Digest, text: str, key: str) -> DataFrame:
@@ -165,12 +181,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     # Rows that repeat one id with one text can't be told apart by id: they are made one first.
     twice = verdict.groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():
-        return docs.join(hinted(gone.select(F.col("doc_id").alias("__gone"))), docs[key].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+        gone = gone.select(F.col("doc_id").alias("gone"))
+        return docs.join(hinted(gone), docs[key].cast("long").eqNullSafe(gone["gone"]), "left_anti")
     normal = F.translate(F.coalesce(docs[text].cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = docs.withColumns({"__id": row_id(docs, key), "__digest": F.sha2(normal.cast("binary"), 256)})
-    marked = marked.dropDuplicates(["__id", "__digest"])
-    stay = verdict.filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    return marked.join(stay, ["__id", "__digest"], "left_semi").select(docs.columns)
+    # The rows are packed, so that no name of theirs meets another.
+    packed = docs.select(row_id(docs, key), F.sha2(normal.cast("binary"), 256).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    stay = verdict.filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "digest").distinct()
+    return packed.dropDuplicates(["id", "digest"]).join(stay, ["id", "digest"], "left_semi").select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

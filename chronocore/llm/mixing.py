@@ -3,13 +3,14 @@
 A budget of tokens is split by weight among domains, then languages, then sources. A node can give at most its tokens
 times ``EPOCHS``; what it falls short of is shared out by weight among its siblings, and only what all of them together
 lack has been taken from their parent's budget beforehand, and went to the parent's siblings. A leaf's budget is spent
-on whole epochs first; the rest is a prefix, in tokens, of one more epoch, whose order is a seeded hash of the ids.
+on whole epochs first; the rest is a prefix, in tokens, of one more epoch, whose order is a seeded hash of ids and texts.
 
 Budgets are computed on sums by leaf. A leaf's order is cut into ranges of the hash of about ``RANGE_DOCS`` documents:
 ranges before the cut are taken whole, and only the range that holds the cut is put in order, so no leaf is ever in one
 task. Texts without tokens (null, empty, white space) are never selected. Null languages and sources are nodes of their
-own, named ``?``, and nodes without a weight take that of ``*``. Rows that repeat an id are ordered by their number of
-tokens and are else alike. No rows, or no weight, select nothing.
+own, named ``?``, and nodes without a weight take that of ``*``. Rows that repeat an id, null ids too, are apart in the
+order by their texts; rows that repeat both have one place, and where a prefix ends among them so many are taken as fit.
+No rows, or no weight, select nothing. Columns ``epoch`` and ``n_tokens`` of the input give way to those of the mix.
 """
 
 from __future__ import annotations
@@ -89,10 +90,14 @@ def leaf(mix: Mix, lang: Column, source: Column) -> dict[str, Column]:
 
 
 def counted(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(id, domain, lang, source, n_tokens) of every row that has a token, stored."""
+    """(id, content, domain, lang, source, n_tokens) of every row that has a token, stored."""
     rows = docs.select(row_id(docs, key), docs[lang].alias("lang"), docs[source].alias("source"), docs[text].cast("string").alias("text"))
     names = leaf(mix, F.col("lang"), F.col("source"))
-    return stored(with_tokens(rows).filter("__tokens > 0").select("id", *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens")))
+    return stored(with_tokens(rows).filter("__tokens > 0").select("id", _content(F.col("text")), *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens")))
+
+
+def _content(text: Column) -> Column:
+    return F.md5(text.cast("binary")).alias("content")
 
 
 def filled(nodes: DataFrame, parent: Sequence[str], child: str) -> DataFrame:
@@ -128,7 +133,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def order_key(mix: Mix, epoch: Column) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(str(mix.seed)), epoch.cast("string"), given_id().cast("string")).cast("binary"))
+    return F.md5(F.concat_ws("/", F.lit(str(mix.seed)), epoch.cast("string"), given_id().cast("string"), F.col("content")).cast("binary"))
 
 
 def _range(ranges: Column) -> Column:
@@ -137,10 +142,10 @@ def _range(ranges: Column) -> Column:
 
 
 def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Where each leaf is cut, stored: (domain, lang, source, whole, rest, ranges, cut, last).
+    """Where each leaf is cut, stored: (domain, lang, source, whole, rest, ranges, cut, last, copies).
 
-    ``whole`` epochs are taken; of one more, all ranges before ``cut`` (null: all), and of that range what is not after
-    ``last`` (order, id, n_tokens). ``rows`` is from counted().
+    ``whole`` epochs are taken; of one more, all ranges before ``cut`` (null: all), of that range what comes before
+    ``last`` in the order, and of the equal rows at ``last`` so many ``copies``. ``rows`` is from counted().
     """
     leaves = stored(rows.groupBy(*NAMES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     plan = budgets(leaves, mix).withColumn("whole", F.floor(F.col("given") / F.col("tokens")).cast("long"))
@@ -151,28 +156,48 @@ def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
     end = F.sum("tokens").over(Window.partitionBy(*NAMES).orderBy("range"))
     over = sums.withColumn("end", end).filter("end > rest").groupBy(*NAMES).agg(F.min(F.struct("range", (F.col("end") - F.col("tokens")).alias("start"))).alias("at"))
     over = stored(over.select(*NAMES, F.col("at.range").alias("cut"), "at.start"))
-    inner = part.join(hinted(over), NAMES).filter("range = cut")
-    so_far = F.sum("n_tokens").over(Window.partitionBy(*NAMES).orderBy("order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    inner = inner.withColumn("so_far", F.col("start") + so_far).filter("so_far <= rest")
-    last = inner.groupBy(*NAMES).agg(F.max(F.struct("order", "id", "n_tokens")).alias("last"))
+    # Equal rows are one line here, however many they are.
+    inner = part.join(hinted(over), NAMES).filter("range = cut").groupBy(*NAMES, "order", "rest", "start", "n_tokens").agg(F.sum("n_tokens").alias("tokens"))
+    to = F.sum("tokens").over(Window.partitionBy(*NAMES).orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+    inner = inner.withColumn("to", F.col("start") + to).filter("to > rest")
+    copies = F.floor((F.col("rest") - F.col("to") + F.col("tokens")) / F.col("n_tokens")).cast("long")
+    last = inner.groupBy(*NAMES).agg(F.min(F.struct("order", copies.alias("copies"))).alias("last"))
+    last = last.select(*NAMES, F.col("last.order").alias("last"), "last.copies")
     return stored(plan.join(over.drop("start"), NAMES, "left").join(last, NAMES, "left"))
 
 
 def selected(rows: DataFrame, where: DataFrame, mix: Mix) -> DataFrame:
-    """``rows`` (id, domain, lang, source, n_tokens, ...) with ``epoch``, once for each epoch that takes them; nothing is shuffled by row."""
+    """``rows`` (id, content, domain, lang, source, n_tokens, ...) with ``epoch``, once for each epoch that takes them; nothing is shuffled by row."""
+    names = rows.columns
     rows = rows.join(hinted(where), NAMES).withColumn("order", order_key(mix, F.col("whole"))).withColumn("range", _range(F.col("ranges")))
-    inside = F.col("cut").isNull() | (F.col("range") < F.col("cut")) | ((F.col("range") == F.col("cut")) & F.coalesce(F.struct("order", "id", "n_tokens") <= F.col("last"), F.lit(False)))
-    times = F.col("whole") + ((F.col("rest") > 0) & inside).cast("long")
-    rows = rows.withColumn("times", times).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    return rows.drop("whole", "rest", "ranges", "cut", "last", "order", "range", "times")
+    inside = F.col("cut").isNull() | (F.col("range") < F.col("cut")) | ((F.col("range") == F.col("cut")) & (F.col("order") < F.col("last")))
+    rows = rows.withColumn("more", ((F.col("rest") > 0) & inside).cast("long"))
+    if not where.filter("copies > 0").isEmpty():
+        at = F.coalesce((F.col("order") == F.col("last")) & (F.col("copies") > 0), F.lit(False))
+        rows = rows.filter(~at).unionByName(_first_copies(rows.filter(at)))
+    rows = rows.withColumn("times", F.col("whole") + F.col("more")).filter("times > 0")
+    return rows.select(*[n for n in names if n != "content"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
+
+
+def _first_copies(rows: DataFrame) -> DataFrame:
+    """Equal rows at the cuts, ``copies`` of each leaf with ``more``. They are numbered part by part, as they lie, so no leaf's are in one task."""
+    names = rows.columns
+    held = stored(rows.withColumn("uid", F.monotonically_increasing_id())).withColumn("part", F.shiftright("uid", 33))
+    sizes = held.groupBy(*NAMES, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*NAMES).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = stored(sizes.select(*NAMES, "part", F.coalesce(before, F.lit(0)).alias("before")))
+    place = F.row_number().over(Window.partitionBy(*NAMES, "part").orderBy("uid")) + F.col("before")
+    return held.join(hinted(sizes), [*NAMES, "part"]).withColumn("more", (place <= F.col("copies")).cast("long")).select(names)
 
 
 def mixed(docs: DataFrame, mix: Mix, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are selected, once for each epoch, with ``epoch`` and ``n_tokens``; texts stay where they are."""
     where = cuts(counted(docs, mix, text, lang, source, key), mix)
-    packed = docs.select(row_id(docs, key), docs[text].cast("string").alias("text"), docs[lang].alias("lang"), docs[source].alias("source"), F.struct(*docs.columns).alias("row"))
+    kept = [docs[c] for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
+    value = docs[text].cast("string")
+    packed = docs.select(row_id(docs, key), value.alias("text"), docs[lang].alias("lang"), docs[source].alias("source"), F.struct(*kept).alias("row"))
     names = leaf(mix, F.col("lang"), F.col("source"))
-    rows = with_tokens(packed).filter("__tokens > 0").select("id", "row", *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens"))
+    rows = with_tokens(packed).filter("__tokens > 0").select("id", "row", _content(F.col("text")), *[c.alias(n) for n, c in names.items()], F.col("__tokens").alias("n_tokens"))
     return selected(rows, where, mix).select("row.*", "epoch", "n_tokens")
 
 
@@ -200,13 +225,14 @@ t{depth} AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER (PARTIT
 b{depth} AS (SELECT {level}, CASE WHEN top IS NULL THEN room::DOUBLE ELSE least(room::DOUBLE, top * weight) END AS budget FROM t{depth}),""")
         above = f"b{depth}"
     return rf"""
-WITH raw AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_tokens FROM documents),
+WITH raw AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, md5(text) AS content,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_tokens FROM documents),
 d AS (SELECT *, {domain} AS domain FROM raw WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {mix.epochs} AS room,
     {weight(mix.domains, "domain")} AS w_domain, {weight(mix.langs, "lang")} AS w_lang, {weight(mix.sources, "source")} AS w_source FROM d GROUP BY domain, lang, source),
 total AS (SELECT floor(sum(tokens) * {mix.percent} / 100)::DOUBLE AS budget FROM leaves),{"".join(parts)}
 p AS (SELECT d.*, floor(budget / tokens)::BIGINT AS whole, budget - floor(budget / tokens)::BIGINT * tokens AS rest FROM d JOIN leaves USING (domain, lang, source) JOIN b2 USING (domain, lang, source)),
-q AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mix.seed}/' || whole || '/' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM p)
+q AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('/', '{mix.seed}', whole, doc_id, content)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM p)
 SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch FROM q WHERE so_far <= rest
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM p WHERE whole > 0
 """

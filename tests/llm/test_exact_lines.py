@@ -51,6 +51,22 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in exact.keep_one(docs(spark, plain)).collect()) == [3, 4, 5, 7, 9, 10]
 
 
+def test_names_that_clash_and_a_stored_snapshot(spark, tmp_path):
+    rows = [(1, "a", "keep", "mine", 5), (2, "A", "x", "y", 6), (2, "A", "x", "z", 7), (3, "b", "p", "q", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id string, digest string, gone int")
+    found = sorted(tuple(r) for r in exact.keep_one(table).collect())
+    assert len(found) == 2 and found[0] in rows[1:3] and found[1] == rows[3]
+    assert sorted(tuple(r) for r in exact.keep_one(table.filter("gone <> 7")).collect()) == [rows[1], rows[3]]
+    digested = exact.digests(docs(spark, ROWS))
+    exact.save(exact.freeze(digested), str(tmp_path / "snapshot"))
+    again = exact.load(spark, str(tmp_path / "snapshot"))
+    batch = exact.digests(docs(spark, [(50, "SAME TEXT"), (51, "new"), (52, "new"), (53, "news")]))
+    screened = exact.screen(again, batch)
+    assert {bytes(r.digest): r.n for r in screened.filter("not positive").collect()} == {sha256(b"new").digest(): 2, sha256(b"news").digest(): 1}
+    found = {bytes(r.digest): (r.keep.id, r.n) for r in exact.merged(again, screened).collect()}
+    assert found[sha256(b"same text").digest()] == (50, 4) and found[sha256(b"new").digest()] == (52, 2) and sha256(b"news").digest() not in found
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 50_000])
 def test_binary_fuse_filter(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)

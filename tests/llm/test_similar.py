@@ -106,6 +106,13 @@ def test_repeated_ids_are_judged_by_text(spark):
     assert {(x.doc_id, x.text) for x in near.keep_one(docs(spark, rows)).collect()} >= {(None, one + " null"), (5, clean)}
 
 
+def test_names_that_clash(spark):
+    rows = [(i, text(30), i, "of", i) for i in range(6)]
+    table = spark.createDataFrame([*rows, (7, rows[0][1] + " end", 1, "x", 2), (8, rows[1][1], 1, "x", 2), (8, rows[2][1] + " w1", 3, "y", 4)], "doc_id long, text string, of int, own string, Gone int")
+    found = near.keep_one(table)
+    assert found.columns == table.columns and sorted(map(str, found.collect())) == sorted(map(str, table.filter("doc_id < 6").collect()))
+
+
 def test_large_groups_go_on_without_loss(spark, monkeypatch):
     for name, value in (("FEW", 2), ("BLOCK_DEPTH", 4), ("BLOCK", 3), ("DEPTH", 3), ("LEADERS", 2)):
         monkeypatch.setattr(near, name, value)
@@ -265,6 +272,31 @@ def test_mix_against_plain(spark):
     assert mixing.mixed(table.limit(0), mix).count() == 0
 
 
+def test_mix_of_equal_rows_keeps_its_budget(spark):
+    mix = mixing.Mix(domains={"*": 1}, langs={"*": 1}, sources={"*": 1}, percent=50, epochs=1)
+    for number in (lambda i: None,):
+        for words in (lambda i: "a b c", lambda i: f"a b w{i}"):
+            table = spark.createDataFrame([(number(i), words(i), "en", "s", "x", 5) for i in range(1000)], "doc_id long, text string, lang string, source string, Epoch string, n_tokens int").repartition(7)
+            found = mixing.mixed(table, mix)
+            assert found.columns == ["doc_id", "text", "lang", "source", "epoch", "n_tokens"]
+            assert [r.n_tokens for r in found.collect()] == [3] * 500
+    rows = [(i % 40, f"w{i % 60} " * (1 + i % 3), "en", f"s{i % 2}") for i in range(480)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for percent in (37, 90):
+        mix = mixing.Mix(domains={"*": 1}, langs={"*": 1}, sources={"s0": 2, "*": 1}, percent=percent, epochs=2)
+        counted = mixing.counted(table, mix)
+        truth = Counter(query(spark, table, mixing.op3_sql(mix)))
+        assert Counter((r.id, r.source, r.n_tokens, r.epoch) for r in mixing.selected(counted, mixing.cuts(counted, mix), mix).collect()) == truth
+        assert Counter((r.doc_id, r.source, r.n_tokens, r.epoch) for r in mixing.mixed(table, mix).collect()) == truth
+
+
+def query(spark, table, sql):
+    import duckdb
+
+    documents = table.toPandas()  # noqa: F841
+    return [tuple(r) for r in duckdb.sql(f"SELECT doc_id, source, n_tokens, epoch FROM ({sql})").fetchall()]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_tokens_and_ngrams_against_plain(n):
     texts = ["", "a b a", "É é, x-y 12", "  ", "one", "a b c d e f g"]
