@@ -1,15 +1,17 @@
 """Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman alignment of words decides.
 
-All windows of ``SEED`` words of a test item are its seeds, however many documents hold them, and are looked up in every
-document. Around each seed found lies a stretch that holds every alignment through it that can be good enough. If that
-has enough words of the item, it is aligned with the item (match 1, mismatch and gap -1); else no alignment in it can
-score enough. A document is contaminated if the best score is at least ``LEAST`` of the item's length, which is what a
-copy with a fifth of its words replaced scores. A copy that shares no window of ``SEED`` words with its item isn't seen.
-
-Test items go to the workers in blocks of ``BLOCK_ITEMS``, one pass over the documents for each block; documents are
-never shuffled. Null and empty texts match nothing. Items of fewer than ``SEED`` words can't be told from chance and
-match nothing. Items that repeat each match. Rows that repeat, and rows with null ids, are judged one by one; no rows
-or no items give no matches.
+All windows of a test item of so many words as ``seed_words`` tells are its seeds, however many documents hold them, and
+are looked up in every document. Around each seed found lies a stretch that holds every alignment through it that can be
+good enough. If that has enough words of the item, it is aligned with the item (match 1, mismatch and gap -1); else no
+alignment in it can score enough. A document is contaminated if the best score is at least ``LEAST`` of the item's
+length, which is what a copy with a fifth of its words replaced or left out scores. Any such copy keeps a seed: n words
+with r <= n / 5 of them changed have a run of at least (n - r) / (r + 1) words, over 3 from 16 words on, over 2 from 6
+on, and over 1 below. A copy with words put in between, which cost less, can be without one; tests measure how many are.
+
+Test items go to the workers in blocks of ``BLOCK_ITEMS`` and ``BLOCK_CHARS`` at most, one pass over the documents for
+each block; documents are never shuffled. Null and empty texts match nothing. Items of fewer than ``SHORT`` words are too
+short for an edit, and match only where all of their words stand in a row; items without a word match nothing. Items that
+repeat each match. Rows that repeat, and rows with null ids, are judged one by one; no rows or no items give no matches.
 """
 
 from __future__ import annotations
@@ -27,34 +29,48 @@ from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, row_id
 from chronocore.plans.storage import lean
 
-SEED, LEAST = 4, 0.6
-#: Items in a block, a few MB.
-BLOCK_ITEMS = 20_000
+LEAST = 0.6
+#: Items of fewer words must be found whole.
+SHORT = 4
+#: Items in a block, and their characters; a single longer item makes a block of its own.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8 << 20
 #: Cells of an alignment, and seeds found, that are held at once; a document is never parted.
 CELLS, FOUND = 1 << 21, 1 << 19
 
 
+def seed_words(size: np.ndarray) -> np.ndarray:
+    """Words of the seeds of items of ``size`` words: as many as any copy with a fifth of its words changed has in a row."""
+    return np.select([size < SHORT, size < 6, size < 16], [size, 2, 3], 4)
+
+
 class Items:
     """Words of test items, and their seeds: sorted hashes with (item, place) of each."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], least: float = LEAST):
         t = textops.tokens(pc.utf8_lower(pa.array([x or "" for x in texts], pa.string())), textops.word_bytes(), textops.byte_values())
-        grams, starts = textops.ngrams(t, SEED)
-        long = np.diff(t.starts) >= SEED
         self.words = [t.hashes[a:b] for a, b in zip(t.starts[:-1], t.starts[1:], strict=True)]
-        item = np.repeat(np.arange(len(texts)), np.diff(starts))
-        keep = long[item] if len(item) else np.zeros(0, bool)
-        place = np.arange(len(grams)) - starts[item] if len(item) else np.zeros(0, np.int64)
-        order = np.argsort(grams[keep], kind="stable")
-        self.grams, self.item, self.place = grams[keep][order], item[keep][order], place[keep][order]
-
-    def parts(self) -> tuple:
-        return self.words, self.grams, self.item, self.place
+        self.size = np.diff(t.starts)
+        self.least = np.where(self.size < SHORT, 1.0, least)
+        own = seed_words(self.size)
+        self.lengths = np.unique(own[self.size > 0]).tolist()
+        found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for n in self.lengths:
+            grams, starts = textops.ngrams(t, n)
+            item = np.repeat(np.arange(len(texts)), np.diff(starts))
+            keep = (own == n)[item]
+            for column, x in zip(found, (grams, item, np.arange(len(grams)) - starts[item]), strict=True):
+                column.append(x[keep])
+        grams, item, place = map(np.concatenate, found)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.item, self.place = grams[order], item[order], place[order]
+
+    def parts(self) -> dict:
+        return vars(self)
 
     @classmethod
-    def of(cls, parts: tuple) -> Items:
+    def of(cls, parts: dict) -> Items:
         out = object.__new__(cls)
-        out.words, out.grams, out.item, out.place = parts
+        vars(out).update(parts)
         return out
 
 
@@ -74,11 +90,6 @@ class Screen:
         return at[self.grams[place] == hashes[at]]
 
 
-def _windows(part: pa.Array, values: np.ndarray) -> tuple[textops.Tokens, np.ndarray, np.ndarray]:
-    t = textops.tokens(pc.utf8_lower(part), textops.word_bytes(), values)
-    return t, *textops.ngrams(t, SEED)
-
-
 def smith_waterman(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best score, where it ends) of each item in its window; 0 fills up items, 1 windows. Match 1, mismatch and gap -1."""
     n, width = windows.shape
@@ -97,8 +108,8 @@ def smith_waterman(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
-def enough_words(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items, least: float) -> np.ndarray:
-    """Whether each stretch low..high has, for ``least`` of the item's length, enough of its words, each as often as in the item."""
+def enough_words(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """Whether each stretch low..high has, for the least share of the item's length, enough of its words, each as often as in the item."""
     good = np.zeros(len(low), bool)
     width = high - low
     cuts = np.searchsorted(np.cumsum(width), np.arange(CELLS, int(width.sum()) + CELLS, CELLS))
@@ -110,7 +121,7 @@ def enough_words(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np
         stretch = np.repeat(np.arange(to - at), n)
         words = hashes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)]
         own = [items.words[i] for i in item[at:to]]
-        size = np.array([len(w) for w in own])
+        size = items.size[item[at:to]]
         # The mark of a word and its stretch; equal marks by chance could only make the bound larger.
         ours = textops.mix(words + textops.mix(stretch.astype(np.uint64)))
         theirs = np.concatenate(own)
@@ -119,53 +130,63 @@ def enough_words(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np
         spot = np.minimum(np.searchsorted(kinds, ours), len(kinds) - 1)
         there = np.bincount(spot[kinds[spot] == ours], minlength=len(kinds))
         common = np.bincount(of[first], np.minimum(there, times), minlength=to - at)
-        good[at:to] = common >= least * size
+        good[at:to] = common >= items.least[item[at:to]] * size
         at = to
     return good
 
 
-def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray, least: float = LEAST) -> list[tuple[int, int, float, int]]:
+def matches(part: pa.Array, items: Items, screen: Screen, values: np.ndarray) -> list[tuple[int, int, float, int]]:
     """(row, item, score over the item's length, last word) of every passage that aligns well enough; the best for each row and item."""
-    t, grams, starts = _windows(part, values)
-    hit = screen.hits(grams)
-    if not len(hit):
+    t = textops.tokens(pc.utf8_lower(part), textops.word_bytes(), values)
+    spots, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in items.lengths:
+        grams, starts = textops.ngrams(t, n)
+        hit = screen.hits(grams)
+        of = np.searchsorted(starts, hit, "right") - 1
+        spots.append(hit - starts[of] + t.starts[of])
+        keys.append(grams[hit])
+    spot, keys = np.concatenate(spots), np.concatenate(keys)
+    if not len(spot):
         return []
-    row = np.searchsorted(starts, hit, "right") - 1
-    first, last = np.searchsorted(items.grams, grams[hit]), np.searchsorted(items.grams, grams[hit], "right")
+    order = np.argsort(spot, kind="stable")
+    spot, keys = spot[order], keys[order]
+    row = np.searchsorted(t.starts, spot, "right") - 1
+    first, last = np.searchsorted(items.grams, keys), np.searchsorted(items.grams, keys, "right")
     many = np.cumsum(last - first)
     found, at = [], 0
-    while at < len(hit):
+    while at < len(spot):
         before = many[at - 1] if at else 0
         to = max(int(np.searchsorted(many, before + FOUND, "right")), at + 1)
         # Whole documents: back to where the last one begins, or on to where the only one ends.
-        if to < len(hit) and row[to] == row[to - 1]:
+        if to < len(spot) and row[to] == row[to - 1]:
             begin = int(np.searchsorted(row, row[to]))
             to = begin if begin > at else int(np.searchsorted(row, row[to], "right"))
-        found += _aligned(t, hit[at:to] - starts[row[at:to]] + t.starts[row[at:to]], row[at:to], first[at:to], last[at:to], items, least)
+        found += _aligned(t, spot[at:to], row[at:to], first[at:to], last[at:to], items)
         at = to
     return found
 
 
-def _aligned(t: textops.Tokens, spot: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, items: Items, least: float) -> list[tuple[int, int, float, int]]:
+def _aligned(t: textops.Tokens, spot: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, items: Items) -> list[tuple[int, int, float, int]]:
     """matches() for seeds at the words ``spot`` of documents ``row``; their grams are ``first`` .. ``last`` - 1 of the items'."""
     many = last - first
     which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     row, spot, item = np.repeat(row, many), np.repeat(spot, many), items.item[which]
     begin = spot - items.place[which]
-    size = np.array([len(w) for w in items.words])[item]
+    size, least = items.size[item], items.least[item]
     # A score of least * size leaves room for so many words too many on either side.
     slack = ((1 - least) * size + 1e-9).astype(np.int64) + 2
     low = np.maximum(begin - slack, t.starts[row])
     # Seeds of one item whose windows lie close make one window.
     order = np.lexsort((low, item, row))
-    row, item, low, size, slack = row[order], item[order], low[order], size[order], slack[order]
+    row, item, low, size, slack, least = row[order], item[order], low[order], size[order], slack[order], least[order]
     high = np.minimum(low + size + 2 * slack + 2, t.starts[row + 1])
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] - low[:-1] > slack[1:])
     heads = np.flatnonzero(fresh)
-    low, high, row, item, size = low[heads], np.maximum.reduceat(high, heads), row[heads], item[heads], size[heads]
-    good = enough_words(t.hashes, low, high, item, items, least)
-    low, high, row, item, size = low[good], high[good], row[good], item[good], size[good]
+    low, high, row, item = low[heads], np.maximum.reduceat(high, heads), row[heads], item[heads]
+    good = enough_words(t.hashes, low, high, item, items)
+    low, high, row, item = low[good], high[good], row[good], item[good]
+    size, least = items.size[item], items.least[item]
     found: dict[tuple[int, int], tuple[float, int]] = {}
     order = np.lexsort((high - low, size))
     at = 0
@@ -183,7 +204,7 @@ def _aligned(t: textops.Tokens, spot: np.ndarray, row: np.ndarray, first: np.nda
             left[j, : size[k]] = items.words[item[k]]
             right[j, : high[k] - low[k]] = t.hashes[low[k] : high[k]]
         score, end = smith_waterman(left, right)
-        for j in np.flatnonzero(score >= least * size[some]):
+        for j in np.flatnonzero(score >= least[some] * size[some]):
             k = some[j]
             key, value = (int(row[k]), int(item[k])), (float(score[j]) / float(size[k]), int(low[k] + end[j] - t.starts[row[k]]))
             if key not in found or value[0] > found[key][0]:
@@ -193,9 +214,10 @@ def _aligned(t: textops.Tokens, spot: np.ndarray, row: np.ndarray, first: np.nda
 
 
 def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[tuple[list, list[str | None]]]:
-    """(ids, texts) of at most about ``BLOCK_ITEMS`` items at a time."""
+    """(ids, texts) of at most about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters at a time."""
     rows = benchmark.select(benchmark[key].alias("item"), benchmark[text].cast("string").alias("text"))
-    blocks = -(-rows.count() // BLOCK_ITEMS)
+    size = rows.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["items"] // BLOCK_ITEMS), min(-(-size["chars"] // BLOCK_CHARS), size["items"]))
     for i in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i) if blocks > 1 else rows
         found = own.collect()
@@ -213,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
     kind = benchmark.schema["item_id"].dataType
     found = []
     for names, texts in blocks_of(benchmark):
-        items = Items(texts)
+        items = Items(texts, least)
         shared = docs.sparkSession.sparkContext.broadcast((names, items.parts()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -222,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
             screen = Screen(items.grams)
             for b in batches:
                 for first, part in textops.blocks(b.column(1)):
-                    hits = matches(part, items, screen, values, least)
+                    hits = matches(part, items, screen, values)
                     if hits:
                         row, item, score, last = zip(*hits, strict=True)
                         ids = b.column(0).take(pa.array([first + r for r in row]))
@@ -240,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
     at = docs.columns.index(text)
     out = docs
     for _, texts in blocks_of(benchmark):
-        items = Items(texts)
+        items = Items(texts, least)
         shared = docs.sparkSession.sparkContext.broadcast(items.parts())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -249,7 +271,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text: str
             for b in batches:
                 good = np.ones(len(b), bool)
                 for first, part in textops.blocks(pc.fill_null(b.column(at), "")):
-                    good[[first + m[0] for m in matches(part, items, screen, values, least)]] = False
+                    good[[first + m[0] for m in matches(part, items, screen, values)]] = False
                 yield b.filter(pa.array(good))
 
         out = out.mapInArrow(run, docs.schema)

@@ -174,7 +174,7 @@ def test_edited_passages_are_aligned_whole():
 
 
 def test_benchmark_leaks(spark):
-    items = [(i, text(R.randint(15, 40))) for i in range(30)] + [(90, None), (91, ""), (92, "w1 w2"), (93, "")]
+    items = [(i, text(R.randint(15, 40))) for i in range(30)] + [(90, None), (91, ""), (92, "w1 w2 nowhere"), (93, "")]
     rows = [(i, f"{text(40)} {items[i][1]} {text(30)}") for i in range(10)]
     rows += [(20 + i, f"{text(10)} {edited(items[10][1], 0.05)} {text(300)}") for i in range(80)]
     rows += [(200 + i, text(150)) for i in range(30)] + [(300, None), (301, ""), (302, "w1 w2"), (303, text(20_000)), (None, items[3][1]), (0, rows[0][1])]
@@ -212,6 +212,43 @@ def test_many_edited_copies_of_an_item(spark):
     assert sorted(x.doc_id for x in decontam.clean(docs(spark, rows), benchmark).collect()) == [*range(100, 105), 300]
 
 
+def test_leaks_against_all_pairs():
+    r = random.Random(5)
+    some = [f"v{i}" for i in range(400)]
+    items = [r.choices(some, k=n) for n in (1, 2, 3, *range(4, 20), 24, 33, 50) for _ in range(6)]
+    def changed(words, how):
+        out = list(words)
+        for i in r.sample(range(len(out)), len(out) // 5):
+            out[i] = None if how == "less" else f"q{i}"
+        out = [w for w in out if w]
+        if how == "more":
+            for _ in range(len(words) // 8):
+                out.insert(r.randrange(len(out)), "zz")
+        return out
+
+    texts, kinds = [], []
+    for item in items:
+        for how in ("replaced", "less", "more", "whole"):
+            copy = item if how == "whole" else changed(item, how)
+            texts.append(r.choices(some, k=8) + copy + r.choices(some, k=9))
+            kinds.append(how)
+    known = decontam.Items([" ".join(x) for x in items])
+    found = {m[:2] for m in decontam.matches(pa.array([" ".join(x) for x in texts]), known, decontam.Screen(known.grams), textops.byte_values())}
+    code = {w: j + 2 for j, w in enumerate({w for x in items + texts for w in x})}
+    wide = max(map(len, texts))
+    right = np.array([[code[w] for w in x] + [1] * (wide - len(x)) for x in texts], np.uint64)
+    truth = set()
+    for j, item in enumerate(items):
+        score, _ = decontam.smith_waterman(np.tile(np.array([code[w] for w in item], np.uint64), (len(texts), 1)), right)
+        truth |= {(i, j) for i in np.flatnonzero(score >= (decontam.LEAST if len(item) >= decontam.SHORT else 1.0) * len(item) - 1e-9).tolist()}
+    assert found <= truth
+    planted = lambda how: {(i, j) for i, j in truth if i // 4 == j and kinds[i] == how}
+    for how in ("whole", "replaced", "less"):
+        assert planted(how) <= found
+    assert {(4 * j + 3, j) for j in range(len(items))} <= found
+    assert len(found) >= 0.95 * len(truth) and len(planted("more") & found) >= 0.95 * len(planted("more"))
+
+
 def test_smith_waterman():
     r = random.Random(1)
     for _ in range(500):
