@@ -96,6 +96,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 100, 300])
+def test_recall_of_keys_by_share_of_edits(n):
+    r = random.Random(n)
+    for share, least in ((0.05, 0.99), (0.1, 0.98), (0.15, 0.96), (0.2, 0.9)):
+        one = [text(n, r) for _ in range(150)]
+        two = [edited(x, share, r) for x in one]
+        t = textops.tokens(pa.array(one + two), textops.word_bytes(), textops.byte_values())
+        keys = near.order_minhash(*textops.ngrams(t, near.WORDS)).reshape(300, near.FUNCTIONS, near.PAIRS)
+        words = [t.hashes[a:b] for a, b in zip(t.starts[:-1], t.starts[1:], strict=True)]
+        hit = [any(len(np.intersect1d(*k)) for k in zip(keys[i], keys[150 + i], strict=True)) for i in range(150) if alike(words[i], words[150 + i], near.SIMILARITY)]
+        assert len(hit) >= 100 and np.mean(hit) >= least, (share, np.mean(hit))
+
+
+def test_keys_of_short_texts():
+    t = textops.tokens(pa.array(["a b", "a b c d e", "a b c d e f", "x y z a b c", "b c d e f g h"]), textops.word_bytes(), textops.byte_values())
+    keys = [set(k.tolist()) for k in near.order_minhash(*textops.ngrams(t, near.WORDS)).reshape(5, -1)]
+    assert len(keys[0]) == len(keys[1]) == 1 and keys[1] < keys[2] | keys[1] and not keys[0] & keys[1]
+    assert not keys[3] & (keys[0] | keys[1] | keys[2] | keys[4])
+
+
 def test_repeated_ids_are_judged_by_text(spark):
     r = random.Random(41)
     one, two, clean = text(50, r), text(50, r), text(50, r)
