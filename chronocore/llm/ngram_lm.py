@@ -1,13 +1,15 @@
-"""Language-model scores: a log-frequency Bloom filter of quantised one- and two-token counts, broadcast to the workers.
+"""Language-model scores: a log-frequency Bloom filter of quantised one- and two-token counts, probed again and again.
 
 A count c is held as the levels 1 .. 1 + floor(log2 c) of its n-gram; a probe goes up the levels until one is missing,
-and the last one found is the count, quantised. The filter has ``BITS_PER_LEVEL`` for each level of the n-grams counted
-(always over all training rows), so it holds them all and grows with them. If it is given a number of bits, those from
-the least power of two on are held whose levels fit, and the others back off, like unseen ones. P(w | v) is smoothed
-towards P(w) with ``PULL`` pseudo-counts; both come from probes.
+and the last one found is the count, quantised. The filter has ``BITS_PER_LEVEL`` at least for each level of the n-grams
+counted, over all training rows, so it holds every one of them and grows with them. P(w | v) is smoothed towards P(w)
+with ``PULL`` pseudo-counts; both come from probes.
 
-The base score beside it is exact: counts of the most frequent tokens are broadcast (``HEAD`` tokens at most), those of
-all other tokens are joined by a shuffle, for which no token is frequent any more.
+A filter that grows can't be broadcast whole, so it is cut into shards by the n-gram's hash, as many as the bytes of text
+ask for. Texts are worked on in blocks: a block sends each shard its distinct n-grams, with their counts in training
+rows, once. A shard adds up the counts of all blocks, builds its part of the filter from them, and answers every block
+with the levels that probes of its n-grams find; for single tokens it adds the exact counts, from which the base score
+comes. N-grams that are frequent are one line for each block, so none is hot.
 
 Tokens are keyed by hashes of 63 bits. Null texts are empty and hold the end token alone. Rows that repeat are scored
 alike; null ids stay null, and their remainder is that of an empty text; no rows give no rows.
@@ -19,26 +21,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
-from chronocore.plans.storage import lean, stored
+from chronocore.plans.storage import stored
 
-#: A shard's bits are set by one task.
-SHARD_BITS, PROBES, BITS_PER_LEVEL = 20, 5, 9
-HEAD = 1 << 17
+PROBES, BITS_PER_LEVEL = 5, 9
 PULL = 20.0
 FLOOR = 0.1
-#: Tokens that a task sums up before it sends counts on.
-SUM_TOKENS = 1 << 20
+#: Tokens of a block, about, and bytes of text for which there is a shard.
+BLOCK_TOKENS, SHARD_BYTES = 1 << 20, 16 << 20
 END = 0xE17D0F7E87000000
 PAIR = np.uint64(1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_HELD = "block long, shard int, a binary, b binary, c binary, d binary, e binary"
+_ANSWER = "block long, shard int, token_levels binary, token_counts binary, pair_levels binary, tokens long, distinct long"
+_SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def tokenized(part: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,201 +54,187 @@ def tokenized(part: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, starts
 
 
-def pairs(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def pairs(hashes: np.ndarray) -> np.ndarray:
     """The hash of each token and the one before it; that of a text's first token has no meaning."""
     before = np.concatenate([hashes[:1], hashes[:-1]])
     return textops.mix(before * _PAIR + hashes) | PAIR
 
 
-def count(rows: DataFrame) -> DataFrame:
-    """(gram, n) over all texts of ``rows``, stored; tasks send sums, not tokens. The low bit of a gram tells pairs from tokens."""
+def _level_hash(grams: np.ndarray, level: int) -> np.ndarray:
+    return textops.mix(grams + np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = textops.byte_values()
-        held: list[list[np.ndarray]] = [[], []]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for parts in held:
-                grams, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-                for at in range(0, len(grams), 200_000):
-                    g, c = grams[at : at + 200_000], n[at : at + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["gram", "n"])
-                parts.clear()
+@dataclass
+class Filter:
+    """A part of the log-frequency Bloom filter."""
+
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, counts: np.ndarray, bits_per_level: int = BITS_PER_LEVEL) -> Filter:
+        """The filter over n-grams with counts of 1 at least, a power of two of bits."""
+        top = np.frexp(counts)[1]  # 1 + floor(log2)
+        need = max(int(top.sum()) * bits_per_level, 64)
+        out = cls(np.zeros(1 << (need - 1).bit_length(), bool))
+        for level in range(1, int(top.max(initial=0)) + 1):
+            for place in out._places(grams[top >= level], level):
+                out.bits[place] = True
+        return out
+
+    def _places(self, grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h, mask = _level_hash(grams, level), np.uint64(len(self.bits) - 1)
+        step = textops.mix(h) | np.uint64(1)
+        for i in range(PROBES):
+            yield ((h + np.uint64(i) * step) & mask).astype(np.int64)
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """The last level that probes find, going up from 1 until one is missing; 0 if none is found."""
+        found, alive = np.zeros(len(grams), np.uint8), np.arange(len(grams))
+        for level in range(1, 64):
+            there = np.ones(len(alive), bool)
+            for place in self._places(grams[alive], level):
+                there &= self.bits[place]
+            alive = alive[there]
+            found[alive] = level
+            if not len(alive):
+                break
+        return found
 
-        for b in batches:
-            for _, part in textops.blocks(pc.fill_null(b.column(0), "")):
-                hashes, starts = tokenized(part, values)
-                inner = np.ones(len(hashes), bool)
-                inner[starts[:-1]] = False
-                held[0].append(hashes)
-                held[1].append(pairs(hashes, starts)[inner])
-                if sum(map(len, held[0])) >= SUM_TOKENS:
-                    yield from flush()
-        yield from flush()
 
-    sums = rows.select("text").mapInArrow(run, "gram long, n long")
-    return stored(sums.groupBy("gram").agg(F.sum("n").alias("n")))
+def quantised(levels: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range."""
+    return np.where(levels > 0, (3 * 2.0 ** (levels.astype(np.float64) - 1) - 1) / 2, 0.0)
 
 
-def _pair() -> Column:
-    return F.col("gram").bitwiseAND(F.lit(1)) == 1
+def log_chances(tokens: np.ndarray, both: np.ndarray, starts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the probability of each text, from the quantised counts of its tokens and of the pairs that they end."""
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    first = starts[:-1]
+    before[first] = 0
+    alone = np.minimum((tokens + FLOOR) / (total + FLOOR * (distinct + 1)), 1.0)
+    chance = (np.minimum(both, before) + PULL * alone) / (before + PULL)
+    return np.add.reduceat(np.log10(chance), first)
 
 
-def _level_hash(grams: np.ndarray, level: int) -> np.ndarray:
-    return textops.mix(grams + np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers under 2^32, first all low bytes and so on, as most high ones are zero."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _places(h: np.ndarray, shard_bits: int) -> list[np.ndarray]:
-    """Bits within the shard."""
-    mask = np.uint64((1 << shard_bits) - 1)
-    step = textops.mix(h) | np.uint64(1)
-    return [((h + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PROBES)]
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _shards(grams: np.ndarray, shards: int) -> np.ndarray:
-    """All levels of an n-gram are in one of the ``shards``, 2^32 at most."""
-    return ((textops.mix(grams ^ _PAIR) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _shard_starts(grams: np.ndarray, shards: int) -> np.ndarray:
+    """Where the n-grams of each shard begin among ``grams``, which ascend; shards are ranges of the hash."""
+    return np.searchsorted((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-@dataclass
-class Model:
-    shards: int
-    shard_bits: int
-    data: np.ndarray
-    tokens: int
-    distinct: int
-    #: The least count that is held.
-    least: int
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Quantised counts, by repeated probes: the middle of the range of the last level that is found; 0 if none is."""
-        level, alive = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        base = _shards(grams, self.shards) << self.shard_bits
-        for j in range(1, 64):
-            h = _level_hash(grams[alive], j)
-            there = np.ones(len(alive), bool)
-            for place in _places(h, self.shard_bits):
-                bit = base[alive] + place
-                there &= ((self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-            alive = alive[there]
-            level[alive] = j
-            if not len(alive):
-                break
-        return np.where(level > 0, (3 * 2.0 ** (level - 1) - 1) / 2, 0.0)
-
-    def score(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text."""
-        kinds, where = np.unique(hashes, return_inverse=True)
-        single = self.counts(kinds)[where]
-        double, at = np.unique(pairs(hashes, starts), return_inverse=True)
-        both = self.counts(double)[at]
-        before = np.concatenate([single[:1], single[:-1]])
-        first = starts[:-1]
-        both[first] = before[first] = 0
-        alone = np.minimum((single + FLOOR) / (self.tokens + FLOOR * (self.distinct + 1)), 1.0)
-        chance = (np.minimum(both, before) + PULL * alone) / (before + PULL)
-        return np.add.reduceat(np.log10(chance), first)
-
-
-def fit(counts: DataFrame, bits: int | None = None, shard_bits: int = SHARD_BITS) -> Model:
-    """The filter over a stored table of counts, of all that it needs or of 2^``bits`` bits."""
-    level = F.floor(F.log2("n") + 1e-12).cast("int")
-    by_level = counts.groupBy(_pair().alias("pair"), level.alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()
-    tokens = sum(r["n"] for r in by_level if not r["pair"])
-    distinct = sum(r["grams"] for r in by_level if not r["pair"])
-    if bits is None:
-        levels = sum(r["grams"] * (r["level"] + 1) for r in by_level)
-        shards, room = max(-(-levels * BITS_PER_LEVEL >> shard_bits), 1), levels
-    else:
-        shard_bits = min(bits, shard_bits)
-        shards, room = 1 << (bits - shard_bits), (1 << bits) // BITS_PER_LEVEL
-    least = 64
-    while least > 0 and room >= (need := sum(r["grams"] * (r["level"] + 1) for r in by_level if r["level"] == least - 1)):
-        room, least = room - need, least - 1
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = np.zeros(1 << shard_bits, np.uint8)
-        grams, top = pdf["gram"].to_numpy().view(np.uint64), pdf["level"].to_numpy()
-        for j in range(1, int(top.max()) + 2):
-            for place in _places(_level_hash(grams[top + 1 >= j], j), shard_bits):
-                shard[place] = 1
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "bits": [np.packbits(shard, bitorder="little").tobytes()]})
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = _shards(b.column(0).to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard.astype(np.int32))], ["gram", "level", "shard"])
-
-    held = counts.select("gram", level.alias("level")).filter(F.col("level") >= least).mapInArrow(place, "gram long, level int, shard int")
-    width = max(1 << (shard_bits - 3), 1)
-    data = np.zeros(shards * width, np.uint8)
-    for row in held.groupBy("shard").applyInPandas(fill, "shard int, bits binary").toLocalIterator():
-        data[row["shard"] * width : (row["shard"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return Model(shards, shard_bits, data, tokens, distinct, 1 << least if least < 64 else 0)
-
-
-def head(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
-    """(grams in order, their counts, the least count): tokens of one power of two and above, ``most`` at most."""
-    one = counts.filter(~_pair())
-    level = F.floor(F.log2("n") + 1e-12).cast("int")
-    by_level = sorted(((r["level"], r["count"]) for r in one.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, room = 64, most
-    for at, grams in by_level:
-        if grams > room:
-            break
-        least, room = at, room - grams
-    found = one.filter(level >= least).select("gram", "n").toPandas()
-    grams, n = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], n[order], least
-
-
-def score(docs: DataFrame, held_out: Column, bits: int | None = None, most: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    lean(docs.sparkSession)
-    rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    counts = count(rows.filter(~F.col("held_out")))
-    model = fit(counts, bits)
-    total, distinct = model.tokens, model.distinct
-    grams, n, least = head(counts, most)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.shards, model.shard_bits, model.data, total, distinct, model.least))
-    frequent = context.broadcast((grams, n))
-    under = total + FLOOR * (distinct + 1)
+def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of ``rows`` (id, held_out, text) and what they send, stored.
+
+    Shard -1: ids, held_out, number of tokens of each text, and of each token the place of the token, and of the pair
+    that it ends, among the block's distinct ones. Other shards: distinct tokens and their counts, distinct pairs and
+    theirs, in ascending order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, values, (grams, n) = Model(*shared.value), textops.byte_values(), frequent.value
-        known = np.append(np.log10((n + FLOOR) / under), 0.0)
-        lists = pa.list_(pa.int64())
+        values, task, number = textops.byte_values(), TaskContext.get().partitionId(), 0
+        held: list[list[np.ndarray]] = [[], [], [], []]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            ids, out, sizes, hashes = map(np.concatenate, held)
+            for part in held:
+                part.clear()
+            block, number = task << 32 | number, number + 1
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            learned, inner = np.repeat(~out, sizes), np.ones(len(hashes), bool)
+            inner[starts[:-1]] = False
+            tokens, at = np.unique(hashes, return_inverse=True)
+            n_tokens = np.bincount(at[learned], minlength=len(tokens))
+            double, of = np.unique(pairs(hashes)[inner], return_inverse=True)
+            n_double = np.bincount(of[learned[inner]], minlength=len(double))
+            row = [ids.astype(np.int64).tobytes(), out.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(at), _planes(of)]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], list("xyabcde"))
+            cut, cut_double = _shard_starts(tokens, shards), _shard_starts(double, shards)
+            some = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_double) > 0))
+            columns: list[list[bytes]] = [[], [], [], []]
+            for s in some:
+                x, y = slice(cut[s], cut[s + 1]), slice(cut_double[s], cut_double[s + 1])
+                for column, value in zip(columns, (tokens[x].tobytes(), _planes(n_tokens[x]), double[y].tobytes(), _planes(n_double[y])), strict=True):
+                    column.append(value)
+            sent = [pa.array(c, pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *sent, pa.nulls(len(some), pa.binary())], list("xyabcde"))
+
         for b in batches:
             for first, part in textops.blocks(b.column(2), textops.WIDE_BYTES):
                 hashes, starts = tokenized(part, values)
-                owner = np.repeat(np.arange(len(part)), np.diff(starts))
-                at = np.searchsorted(grams, hashes)
-                common = (grams[np.minimum(at, len(grams) - 1)] == hashes) if len(grams) else np.zeros(len(hashes), bool)
-                sums = np.bincount(owner, np.where(common, known[np.where(common, at, len(n))], 0.0), minlength=len(part))
-                tail, of = hashes[~common].view(np.int64), owner[~common]
-                ends = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), pa.array(np.diff(starts)), pa.array(np.bincount(owner, common, minlength=len(part)).astype(np.int64)), pa.array(sums),
-                     pa.array(model.score(hashes, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tail)).cast(lists)],
-                    ["id", "held_out", "n_tokens", "n_common", "common_sum", "score", "tail"],
-                )
-
-    fields = "id long, held_out boolean, n_tokens long, n_common long, common_sum double, score double, tail array<long>"
-    scored = stored(rows.mapInArrow(run, fields).withColumn("uid", F.monotonically_increasing_id()))
-    # A rare token of a row is one line with its number of occurrences, and meets its count by a shuffle.
-    rare = scored.select("uid", F.explode("tail").alias("gram")).groupBy("uid", "gram").agg(F.count("*").alias("times"))
-    scarce = counts.filter(~_pair()).filter(F.floor(F.log2("n") + 1e-12) < least).select("gram", "n")
-    seen = F.coalesce("n", F.lit(0))
-    found = rare.join(scarce.hint("merge"), "gram", "left").groupBy("uid").agg(
-        F.sum(F.col("times") * F.log10((seen + FLOOR) / F.lit(under))).alias("rare_sum"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("n_rare")
-    )
-    joined = scored.drop("tail").join(found.hint("merge"), "uid", "left")
-    return joined.select(
-        "id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("common_sum") + F.coalesce("rare_sum", F.lit(0.0))).alias("base_score"), "score",
-    )
+                own = (b.column(i).slice(first, len(part)).to_numpy(zero_copy_only=False) for i in (0, 1))
+                for part_, value in zip(held, (*own, np.diff(starts), hashes), strict=True):
+                    part_.append(value)
+                if sum(map(len, held[3])) >= block_tokens:
+                    yield from flush()
+        if held[0]:
+            yield from flush()
+
+    return stored(rows.mapInArrow(run, _HELD))
+
+
+def answers(sent: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
+    """What shards answer to blocks, stored; block -1 has the number of training tokens of the shard, and of distinct ones."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        joined = lambda c: b"".join(x.as_buffer() for x in table.column(c))
+        levels, counts, sums = {}, None, [0, 0]
+        for grams, n in (("a", "b"), ("c", "d")):
+            kinds, at = np.unique(np.frombuffer(joined(grams), np.uint64), return_inverse=True)
+            own = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_buffer()) for x in table.column(n))])
+            total = np.zeros(len(kinds), np.int64)
+            np.add.at(total, at, own)
+            there = total > 0
+            levels[grams] = Filter.of(kinds[there], total[there], bits_per_level).levels(kinds)[at]
+            if grams == "a":
+                counts, sums = total[at], [int(total.sum()), int(there.sum())]
+        ends = [np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table.column(c))]) for c in "ac"]
+        cut = lambda x, e: [x[i:j].tobytes() for i, j in zip(e[:-1], e[1:], strict=True)]
+        n = len(table)
+        shard = key[0].as_py()
+        return pa.table({
+            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()),
+            "token_levels": pa.array([*cut(levels["a"], ends[0]), None], pa.binary()), "token_counts": pa.array([*cut(counts, ends[0]), None], pa.binary()),
+            "pair_levels": pa.array([*cut(levels["c"], ends[1]), None], pa.binary()), "tokens": pa.array([None] * n + sums[:1], pa.int64()), "distinct": pa.array([None] * n + sums[1:], pa.int64()),
+        })
+
+    return stored(sent.groupBy("shard").applyInArrow(run, _ANSWER))
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, block_tokens: int = BLOCK_TOKENS, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    held = blocks(rows, max(-(-size // shard_bytes), 1), block_tokens)
+    found = answers(held.filter("shard >= 0").select("block", "shard", "a", "b", "c", "d"), bits_per_level)
+    sums = found.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    total, distinct = sums["tokens"], sums["distinct"]
+
+    def finish(block: pa.Table, said: pa.Table) -> pa.Table:
+        ids, out, sizes = (np.frombuffer(block.column(c)[0].as_buffer(), kind) for c, kind in zip("abc", (np.int64, np.uint8, np.int64), strict=True))
+        at, of = (_numbers(block.column(c)[0].as_buffer()) for c in "de")
+        said = said.take(pa.array(np.argsort(said.column("shard").to_numpy())))
+        joined = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in said.column(c)), kind)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        counts = joined("token_counts", np.int64)[at]
+        both, inner = np.zeros(len(at)), np.ones(len(at), bool)
+        inner[starts[:-1]] = False
+        both[inner] = quantised(joined("pair_levels", np.uint8))[of]
+        chance = log_chances(quantised(joined("token_levels", np.uint8))[at], both, starts, total, distinct)
+        base = np.add.reduceat(np.log10((counts + FLOOR) / (total + FLOOR * (distinct + 1))), starts[:-1])
+        known = np.add.reduceat((counts > 0).astype(np.int64), starts[:-1])
+        return pa.table({"id": pa.array(ids), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(chance)})
+
+    own = held.filter("shard = -1").groupBy("block").cogroup(found.filter("block >= 0").drop("tokens", "distinct").groupBy("block"))
+    return own.applyInArrow(finish, _SCORES).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

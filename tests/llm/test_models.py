@@ -76,35 +76,46 @@ def test_lm_scores(spark, tmp_path):
     n, v = sum(c.values()), len(c)
     truth = sorted((crc(i) % 10 == 0, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in words)
     docs = spark.read.parquet(path + "/documents.parquet")
-    for most in (0, 7, ngram_lm.HEAD):  # with and without tokens that are broadcast
-        found = ngram_lm.score(docs, F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 10 == 0, bits=20, most=most)
-        assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found.collect()) == truth
-    assert all(r.score < 0 for r in found.collect())
-    assert ngram_lm.score(docs.limit(0), F.lit(False), bits=12).count() == 0
-
-
-def test_filter_holds_quantised_counts(spark):
-    counts = spark.createDataFrame([(i * 7919 + 1, 1 + i % 40) for i in range(3000)], "gram long, n long")
-    model = ngram_lm.fit(counts, bits=20, shard_bits=12)
-    grams = np.array([i * 7919 + 1 for i in range(3000)], np.int64).view(np.uint64)
-    truth = np.array([1 + i % 40 for i in range(3000)])
-    level = np.floor(np.log2(truth))
-    exact = (3 * 2.0**level - 1) / 2
-    assert (model.counts(grams) >= exact).all() and (model.counts(grams) == exact).mean() > 0.99
-    assert (model.counts(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64) * np.uint64(3)) > 0).mean() < 0.02
-    assert ngram_lm.fit(counts, bits=14, shard_bits=12).least > 1  # too small for all: rare ones back off
-
-
-def test_filter_grows_with_the_counts(spark):
-    r = random.Random(17)
-    for n in (0, 3000, 40_000):
-        grams = [r.randrange(-(2**62), 2**62) for _ in range(n)]
-        counts = spark.createDataFrame([(g, 1 + i % 5) for i, g in enumerate(grams)], "gram long, n long")
-        model = ngram_lm.fit(counts, shard_bits=12)
-        held = model.counts(np.array(grams, np.int64).view(np.uint64))
-        assert model.least <= 1 and (held > 0).all()
-        levels = sum((1 + i % 5).bit_length() for i in range(n))
-        assert levels * 9 <= 8 * len(model.data) <= levels * 9 + (1 << 12)
+    held = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    double = Counter(p for i, ws in words if crc(i) % 10 for p in zip(ws, ws[1:], strict=False))
+    middle = lambda x: (3 * 2.0 ** (x.bit_length() - 1) - 1) / 2 if x else 0.0
+
+    def plain(ws):
+        out, before = 0.0, None
+        for w in ws:
+            alone = min((middle(c[w]) + 0.1) / (n + 0.1 * (v + 1)), 1.0)
+            seen = middle(c[before]) if before else 0.0
+            out += math.log10((min(middle(double[before, w]) if before else 0.0, seen) + 20 * alone) / (seen + 20))
+            before = w
+        return out
+
+    scores = sorted((len(ws), crc(i) % 10 == 0, plain(ws)) for i, ws in words)
+    for size, tokens in ((1 << 30, 1 << 20), (2000, 500)):  # one shard and block, and many
+        found = ngram_lm.score(docs, held, shard_bytes=size, block_tokens=tokens, bits_per_level=64).collect()
+        assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == truth
+        got = sorted((r.n_tokens, r.held_out, r.score) for r in found)
+        off = [abs(x[2] - y[2]) for x, y in zip(got, scores, strict=True)]
+        assert np.mean(np.array(off) < 1e-6) > 0.97 and max(off) < 2
+    found = sorted((r.n_tokens, r.held_out, r.score) for r in ngram_lm.score(docs, held).collect())
+    assert np.mean([abs(x[2] - y[2]) / x[0] for x, y in zip(found, scores, strict=True)]) < 0.02
+    assert ngram_lm.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_filter_holds_quantised_counts():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 3000, 400_000):
+        grams = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        counts = 1 + np.arange(len(grams)) % 40
+        model = ngram_lm.Filter.of(grams, counts)
+        truth = np.floor(np.log2(counts)) + 1
+        assert len(model.bits) >= 9 * truth.sum() and len(model.bits) < max(18 * truth.sum(), 65)
+        found = model.levels(grams)
+        assert (found >= truth).all() and (not n or (found == truth).mean() > 0.98)
+        assert (model.levels(r.integers(0, 2**63, 50_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert ngram_lm.quantised(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+    for m in (0, 1, 70_000):
+        x = r.integers(0, 2**32, m)
+        assert (ngram_lm._numbers(ngram_lm._planes(x)) == x).all()
 
 
 def test_url_rules_and_model(spark, tmp_path):
