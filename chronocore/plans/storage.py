@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a private one is set only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir; a private one is set only where the session names none and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="chronocore-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -58,6 +61,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parted(df: DataFrame, column: str, values: list) -> list[DataFrame]:
+    """``df`` stored as one table for each of the values of ``column``, without it; a value without rows has an empty one."""
+    spark = df.sparkSession
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
+    lean(spark)
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    there = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    folders = [f"{path}/{column}={v}" for v in values]
+    return [spark.read.schema(schema).parquet(f) if there(spark._jvm.org.apache.hadoop.fs.Path(f)) else spark.createDataFrame([], schema) for f in folders]
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again, and let the files of finished shuffles go."""
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has so few rows that it may be broadcast. It counts; pass a stored table."""
     return df.count() <= rows

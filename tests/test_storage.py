@@ -16,6 +16,28 @@ def test_stored_small_and_release(spark):
     assert not os.path.exists(folder)
 
 
+def test_parted_and_forgotten(spark):
+    rows = spark.range(10).selectExpr("id", "id % 2 = 0 as even")
+    even, odd = storage.parted(rows, "even", ["true", "false"])
+    assert even.columns == ["id"] and sorted(r.id for r in even.collect()) == [0, 2, 4, 6, 8] and odd.count() == 5
+    none, all_ = storage.parted(rows.filter("not even"), "even", ["true", "false"])
+    assert none.count() == 0 and all_.count() == 5
+    files = even.inputFiles()
+    storage.forget(even)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files) and odd.count() == 5
+    storage.forget(none)
+
+
+def test_no_private_folder_on_a_cluster():
+    class Session:
+        conf, sparkContext = {}, type("Context", (), {"master": "spark://host:7077"})
+
+    import pytest
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session)
+
+
 def test_batches_are_lowered_and_never_raised(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     session = spark.newSession()
