@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
-from chronocore.plans.storage import stored
+from chronocore.plans.storage import forget, parted, stored
 
 PROBES, BITS_PER_LEVEL = 5, 9
 PULL = 20.0
@@ -39,7 +39,7 @@ BLOCK_TOKENS, SHARD_BYTES = 1 << 20, 16 << 20
 END = 0xE17D0F7E87000000
 PAIR = np.uint64(1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_HELD = "block long, shard int, a binary, b binary, c binary, d binary, e binary"
+_HELD = "own boolean, block long, shard int, a binary, b binary, c binary, d binary, e binary"
 _ANSWER = "block long, shard int, token_levels binary, token_counts binary, pair_levels binary, tokens long, distinct long"
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -125,17 +125,26 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _ascending(x: np.ndarray) -> bytes:
+    """64-bit numbers that ascend: the first one and the steps, all low bytes first and so on, as the high ones of steps are zero."""
+    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _summed(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _shard_starts(grams: np.ndarray, shards: int) -> np.ndarray:
     """Where the n-grams of each shard begin among ``grams``, which ascend; shards are ranges of the hash."""
     return np.searchsorted((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of ``rows`` (id, held_out, text) and what they send, stored.
+def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> list[DataFrame]:
+    """Blocks of ``rows`` (id, held_out, text) and what they send to each shard, stored apart.
 
-    Shard -1: ids, held_out, number of tokens of each text, and of each token the place of the token, and of the pair
-    that it ends, among the block's distinct ones. Other shards: distinct tokens and their counts, distinct pairs and
-    theirs, in ascending order.
+    Blocks: ids, held_out, number of tokens of each text, and of each token the place of the token, and of the pair that
+    it ends, among the block's distinct ones. Sent: distinct tokens and their counts, distinct pairs and theirs, in
+    ascending order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +165,16 @@ def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> Da
             double, of = np.unique(pairs(hashes)[inner], return_inverse=True)
             n_double = np.bincount(of[learned[inner]], minlength=len(double))
             row = [ids.astype(np.int64).tobytes(), out.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(at), _planes(of)]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], list("xyabcde"))
+            yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([block]), pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], list("xyzabcde"))
             cut, cut_double = _shard_starts(tokens, shards), _shard_starts(double, shards)
             some = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_double) > 0))
             columns: list[list[bytes]] = [[], [], [], []]
             for s in some:
                 x, y = slice(cut[s], cut[s + 1]), slice(cut_double[s], cut_double[s + 1])
-                for column, value in zip(columns, (tokens[x].tobytes(), _planes(n_tokens[x]), double[y].tobytes(), _planes(n_double[y])), strict=True):
+                for column, value in zip(columns, (_ascending(tokens[x]), _planes(n_tokens[x]), _ascending(double[y]), _planes(n_double[y])), strict=True):
                     column.append(value)
             sent = [pa.array(c, pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *sent, pa.nulls(len(some), pa.binary())], list("xyabcde"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), bool)), pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *sent, pa.nulls(len(some), pa.binary())], list("xyzabcde"))
 
         for b in batches:
             for first, part in textops.blocks(b.column(2), textops.WIDE_BYTES):
@@ -178,17 +187,17 @@ def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> Da
         if held[0]:
             yield from flush()
 
-    return stored(rows.mapInArrow(run, _HELD))
+    return parted(rows.mapInArrow(run, _HELD), "own", ["true", "false"])
 
 
 def answers(sent: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
     """What shards answer to blocks, stored; block -1 has the number of training tokens of the shard, and of distinct ones."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        joined = lambda c: b"".join(x.as_buffer() for x in table.column(c))
+        joined = lambda c: np.concatenate([np.zeros(0, np.uint64), *(_summed(x.as_buffer()) for x in table.column(c))])
         levels, counts, sums = {}, None, [0, 0]
         for grams, n in (("a", "b"), ("c", "d")):
-            kinds, at = np.unique(np.frombuffer(joined(grams), np.uint64), return_inverse=True)
+            kinds, at = np.unique(joined(grams), return_inverse=True)
             own = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_buffer()) for x in table.column(n))])
             total = np.zeros(len(kinds), np.int64)
             np.add.at(total, at, own)
@@ -213,8 +222,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    held = blocks(rows, max(-(-size // shard_bytes), 1), block_tokens)
-    found = answers(held.filter("shard >= 0").select("block", "shard", "a", "b", "c", "d"), bits_per_level)
+    held, sent = blocks(rows, max(-(-size // shard_bytes), 1), block_tokens)
+    found = answers(sent.select("block", "shard", "a", "b", "c", "d"), bits_per_level)
+    forget(sent)
     sums = found.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     total, distinct = sums["tokens"], sums["distinct"]
 
@@ -233,7 +243,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         known = np.add.reduceat((counts > 0).astype(np.int64), starts[:-1])
         return pa.table({"id": pa.array(ids), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(chance)})
 
-    own = held.filter("shard = -1").groupBy("block").cogroup(found.filter("block >= 0").drop("tokens", "distinct").groupBy("block"))
+    own = held.groupBy("block").cogroup(found.filter("block >= 0").drop("tokens", "distinct").groupBy("block"))
     return own.applyInArrow(finish, _SCORES).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
