@@ -11,6 +11,7 @@ Hosts are lower-cased (A-Z). Rows that repeat get equal verdicts; an empty table
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 from collections.abc import Sequence
 
@@ -26,22 +27,42 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 BUCKETS, SIZES = 4096, (3, 4)
-STEPS, RATE, DECAY = 120, 0.5, 1e-3
-
-#: The labelled table: hosts of unwanted pages and of ordinary ones, each with a few paths.
-UNWANTED = "cheap-pills casino-win spam-farm free-bets adult-x ads-track buy-viagra hot-singles win-cash poker-bonus loan-now payday-cash click-ads ad-server xxx-video slots-win bet-online pharma-cheap replica-watch free-money".split()
-ORDINARY = "news daily-post library museum garden kitchen city-council weather school science forum wiki docs photos travel books history music health sports thermal therapist other theatre thunder things nation station ration into british fashion finish relationship mansion patient brother northern ocean river mountain village".split()
+STEPS, RATE, DECAY = 200, 0.5, 1e-3
+#: Log-odds over which a page is blocked: most pages are wanted ones.
+BLOCK_OVER = 0.2
+
+#: Words of unwanted hosts, of ordinary ones, and of either.
+UNWANTED = (
+    "casino poker slots roulette blackjack jackpot lottery bet bets betting bingo gamble vegas pills pharma viagra cialis tablets steroid porn xxx sex adult erotic escort nude webcam "
+    "malware crack warez keygen spam phishing virus trojan loan loans payday forex cash prize winner ads adclick popup tracker track replica fake counterfeit cheap free money"
+).split()
+ORDINARY = (
+    "news daily post library museum garden kitchen city council weather school science forum wiki docs photo travel book history music health sport theatre nation station british bbc guardian times journal "
+    "press radio kino house family doctor clinic hospital church charity university college student teacher lesson recipe cooking bakery coffee wine farm forest river mountain ocean island village bridge train "
+    "railway airport hotel tourism map guide language grammar poetry novel paint design architect engineer software code data linux physics chemistry biology medicine patient therapy brother sister mother "
+    "essex alphabet better address cashmere expert express pillow pillar advice administration freedom slot-car trackside virtue winter"
+).split()
+EITHER = "online best my the world club shop hub tube now center store win zone live top net web 24 4u x land day".split()
+ENDS = ("com", "net", "org", "info", "co.uk", "example.com", "example.net", "example.org")
 PATHS = ["/{lang}/{n}", "/{lang}/{n}/", "/{lang}/{n}.html", "/{lang}/{n}?page=2", "/{lang}/{n}#top", "/", ""]
 
 
-def labelled() -> list[tuple[str, int]]:
-    """(url, 1 if unwanted). Both kinds have the same paths, so that only what sets them apart gets weight."""
-    ends, fronts, langs = ("com", "net", "org"), ("", "www.", "m.", "blog."), ("en", "fr", "de", "es")
-    rows = []
-    for label, hosts in ((1, UNWANTED), (0, ORDINARY)):
-        for j in range(480):
-            host, path = hosts[j % len(hosts)], PATHS[j % len(PATHS)].format(lang=langs[j // 3 % 4], n=j * 337 % 1000)
-            rows.append((f"https://{fronts[j // 5 % 4]}{host}.example.{ends[j // 2 % 3]}{path}", label))
+def _syllables(r: random.Random) -> str:
+    """A made-up name."""
+    starts, ends = "b c d f g h j k l m n p r s t v w z bl ch cl cr dr fl gr pl pr sh sl sp st str th tr wh".split(), ["", "", "l", "m", "n", "r", "s", "t", "ck", "ld", "lt", "nd", "ng", "nt", "rd", "rt", "sh", "st", "th"]
+    return "".join(r.choice(starts) + r.choice(["a", "e", "i", "o", "u", "ea", "ou", ""]) + r.choice(ends) for _ in range(r.randint(2, 3)))
+
+
+def labelled(each: int = 700, seed: int = 1) -> list[tuple[str, int]]:
+    """(url, 1 if unwanted), made by rule. Both kinds have the same paths, so that only what sets hosts apart gets weight."""
+    r, rows = random.Random(seed), []
+    for label in (1, 0):
+        for j in range(each):
+            words = [r.choice(UNWANTED if label else ORDINARY)] if label or j % 3 else [_syllables(r)]
+            if r.random() < 0.7:
+                words.insert(r.randrange(2), r.choice(EITHER) if r.random() < 0.6 else r.choice(UNWANTED if label else ORDINARY))
+            host = r.choice(["", "", "www.", "m.", "blog."]) + r.choice(["-", "-", ""]).join(words) + "." + r.choice(ENDS)
+            rows.append((f"https://{host}" + r.choice(PATHS).format(lang=r.choice(["en", "fr", "de", "es"]), n=r.randrange(1000)), label))
     return rows
 
 
@@ -139,7 +160,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labe
     host, path = host_and_path(pages[url].cast("string"))
     cut = pages.select(pages[key].alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    model = F.when(logit(F.concat(F.lit("^"), "host", "path", F.lit("$")), bias, weights) > 0, "block").otherwise("allow")
+    model = F.when(logit(F.concat(F.lit("^"), "host", "path", F.lit("$")), bias, weights) > BLOCK_OVER, "block").otherwise("allow")
     return cut.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, model).alias("verdict"))
 
 
@@ -166,6 +187,6 @@ g AS (SELECT page_id, host, path, rule,
         list_transform(range(1, len(c) - 2), lambda i: ({gram(4)} % 1000003 % {BUCKETS})::INT) AS b FROM f)
 SELECT page_id, host, path, rule, CASE rule
 {said}
-    ELSE CASE WHEN {bias} + coalesce(list_sum(list_transform(b, lambda k: w[k + 1])) / nullif(len(b), 0), 0) > 0 THEN 'block' ELSE 'allow' END END AS verdict
+    ELSE CASE WHEN {bias} + coalesce(list_sum(list_transform(b, lambda k: w[k + 1])) / nullif(len(b), 0), 0) > {BLOCK_OVER} THEN 'block' ELSE 'allow' END END AS verdict
 FROM g, w
 """
