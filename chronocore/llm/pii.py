@@ -176,9 +176,10 @@ def word_before(text: str, at: int) -> str:
 def _run_features(run: Sequence[str], before: str) -> list[list[str]]:
     """Features of each token of a run, with the shape of the neighbours, or the word before the run."""
     own = [shape(x) for x in run]
+    whole = [f"digits in run={min(sum(c.isdecimal() for x in run for c in x), 20)}", f"tokens={min(len(run), 6)}"]
     out = []
     for i, f in enumerate(own):
-        f = [*f, f"digits in run={min(sum(c.isdecimal() for x in run for c in x), 20)}", f"tokens={min(len(run), 6)}", *([f"word={before}"] if not i else [])]
+        f = [*f, *whole, *([f"word={before}"] if not i else [])]
         left = [f"left {x}" for x in own[i - 1][:2]] if i else ["left none"]
         right = [f"right {x}" for x in own[i + 1][:2]] if i + 1 < len(own) else ["right none"]
         out.append([*f, *left, *right])
