@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +81,11 @@ def forget(df: DataFrame) -> None:
     if files := df.inputFiles():
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()
+    # Spark deletes a shuffle's files when no plan that Python or the JVM still holds refers to it.
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
