@@ -76,11 +76,16 @@ def parted(df: DataFrame, column: str, values: list) -> list[DataFrame]:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a stored table that nothing will read again, and let the files of finished shuffles go."""
+    """Delete a stored table that nothing will read again, and sweep."""
     spark = df.sparkSession
     if files := df.inputFiles():
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the files of finished shuffles go."""
     # Spark deletes a shuffle's files when no plan that Python or the JVM still holds refers to it.
     gc.collect()
     for _ in range(2):
