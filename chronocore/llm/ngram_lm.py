@@ -11,7 +11,7 @@ rows, once. A shard adds up the counts of all blocks, builds its part of the fil
 with the levels that probes of its n-grams find; for single tokens it adds the exact counts, from which the base score
 comes. N-grams that are frequent are one line for each block, so none is hot.
 
-Tokens are keyed by hashes of 63 bits. Null texts are empty and hold the end token alone. Rows that repeat are scored
+N-grams are keyed by hashes of 56 bits. Null texts are empty and hold the end token alone. Rows that repeat are scored
 alike; null ids stay null, and their remainder is that of an empty text; no rows give no rows.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronocore.llm import textops
 from chronocore.llm.shared import documents, given_id, remainder, row_id
-from chronocore.plans.storage import forget, parted, stored
+from chronocore.plans.storage import parted, sweep
 
 PROBES, BITS_PER_LEVEL = 5, 9
 PULL = 20.0
@@ -37,10 +37,11 @@ FLOOR = 0.1
 #: Tokens of a block, about, and bytes of text for which there is a shard.
 BLOCK_TOKENS, SHARD_BYTES = 1 << 20, 16 << 20
 END = 0xE17D0F7E87000000
-PAIR = np.uint64(1)
+#: Bits of a hash that aren't kept.
+LOW = np.uint64(8)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_HELD = "own boolean, block long, shard int, a binary, b binary, c binary, d binary, e binary"
-_ANSWER = "block long, shard int, token_levels binary, token_counts binary, pair_levels binary, tokens long, distinct long"
+_HELD = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in "abcde")])
+_ANSWERED = pa.schema([("own", pa.bool_()), *_HELD, ("tokens", pa.int64()), ("distinct", pa.int64())])
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -50,14 +51,14 @@ def tokenized(part: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(part)
     starts = t.starts + np.arange(n + 1)
     hashes = np.full(starts[-1], END, np.uint64)
-    hashes[np.arange(len(t.hashes)) + t.owner] = t.hashes & ~PAIR
+    hashes[np.arange(len(t.hashes)) + t.owner] = t.hashes >> LOW << LOW
     return hashes, starts
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
     """The hash of each token and the one before it; that of a text's first token has no meaning."""
     before = np.concatenate([hashes[:1], hashes[:-1]])
-    return textops.mix(before * _PAIR + hashes) | PAIR
+    return textops.mix(before * _PAIR + hashes) >> LOW << LOW
 
 
 def _level_hash(grams: np.ndarray, level: int) -> np.ndarray:
@@ -116,22 +117,23 @@ def log_chances(tokens: np.ndarray, both: np.ndarray, starts: np.ndarray, total:
     return np.add.reduceat(np.log10(chance), first)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers under 2^32, first all low bytes and so on, as most high ones are zero."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers from 0 on, first all low bytes and so on, as most high ones are zero."""
+    x = x.astype(kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _numbers(planes: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _ascending(x: np.ndarray) -> bytes:
-    """64-bit numbers that ascend: the first one and the steps, all low bytes first and so on, as the high ones of steps are zero."""
-    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Hashes that ascend, by the first one and the steps; their low byte is zero."""
+    return _planes(np.diff(x >> LOW, prepend=np.uint64(0)), "<u8")
 
 
 def _summed(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(planes, "<u8"), dtype=np.uint64) << LOW
 
 
 def _shard_starts(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -139,12 +141,12 @@ def _shard_starts(grams: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> list[DataFrame]:
-    """Blocks of ``rows`` (id, held_out, text) and what they send to each shard, stored apart.
+def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of ``rows`` (id, held_out, text) and what they send to each shard.
 
-    Blocks: ids, held_out, number of tokens of each text, and of each token the place of the token, and of the pair that
-    it ends, among the block's distinct ones. Sent: distinct tokens and their counts, distinct pairs and theirs, in
-    ascending order.
+    Shard -1: ids, held_out, number of tokens of each text, and of each token the place of the token, and of the pair
+    that it ends, among the block's distinct ones. Other shards: distinct tokens and their counts, distinct pairs and
+    theirs, in ascending order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> li
             double, of = np.unique(pairs(hashes)[inner], return_inverse=True)
             n_double = np.bincount(of[learned[inner]], minlength=len(double))
             row = [ids.astype(np.int64).tobytes(), out.astype(np.uint8).tobytes(), sizes.astype(np.int64).tobytes(), _planes(at), _planes(of)]
-            yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([block]), pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], list("xyzabcde"))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], schema=_HELD)
             cut, cut_double = _shard_starts(tokens, shards), _shard_starts(double, shards)
             some = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_double) > 0))
             columns: list[list[bytes]] = [[], [], [], []]
@@ -174,7 +176,7 @@ def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> li
                 for column, value in zip(columns, (_ascending(tokens[x]), _planes(n_tokens[x]), _ascending(double[y]), _planes(n_double[y])), strict=True):
                     column.append(value)
             sent = [pa.array(c, pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), bool)), pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *sent, pa.nulls(len(some), pa.binary())], list("xyzabcde"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *sent, pa.nulls(len(some), pa.binary())], schema=_HELD)
 
         for b in batches:
             for first, part in textops.blocks(b.column(2), textops.WIDE_BYTES):
@@ -187,18 +189,25 @@ def blocks(rows: DataFrame, shards: int, block_tokens: int = BLOCK_TOKENS) -> li
         if held[0]:
             yield from flush()
 
-    return parted(rows.mapInArrow(run, _HELD), "own", ["true", "false"])
+    return rows.mapInArrow(run, "block long, shard int, a binary, b binary, c binary, d binary, e binary")
 
 
-def answers(sent: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
-    """What shards answer to blocks, stored; block -1 has the number of training tokens of the shard, and of distinct ones."""
+def answered(rows: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> list[DataFrame]:
+    """Blocks, and what shards answer to them, stored apart. ``rows`` is from blocks(), and goes through one shuffle, blocks as they are.
+
+    Answers: levels of the tokens, their counts, levels of the pairs; block -1 has the number of training tokens of the
+    shard, and of distinct ones.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        n, shard = len(table), key[0].as_py()
+        if shard < 0:
+            return pa.table([pa.array([True] * n), *(table.column(c) for c in _HELD.names), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_ANSWERED)
         joined = lambda c: np.concatenate([np.zeros(0, np.uint64), *(_summed(x.as_buffer()) for x in table.column(c))])
         levels, counts, sums = {}, None, [0, 0]
-        for grams, n in (("a", "b"), ("c", "d")):
+        for grams, times in (("a", "b"), ("c", "d")):
             kinds, at = np.unique(joined(grams), return_inverse=True)
-            own = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_buffer()) for x in table.column(n))])
+            own = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_buffer()).astype(np.int64) for x in table.column(times))])
             total = np.zeros(len(kinds), np.int64)
             np.add.at(total, at, own)
             there = total > 0
@@ -206,25 +215,26 @@ def answers(sent: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
             if grams == "a":
                 counts, sums = total[at], [int(total.sum()), int(there.sum())]
         ends = [np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table.column(c))]) for c in "ac"]
-        cut = lambda x, e: [x[i:j].tobytes() for i, j in zip(e[:-1], e[1:], strict=True)]
-        n = len(table)
-        shard = key[0].as_py()
-        return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()),
-            "token_levels": pa.array([*cut(levels["a"], ends[0]), None], pa.binary()), "token_counts": pa.array([*cut(counts, ends[0]), None], pa.binary()),
-            "pair_levels": pa.array([*cut(levels["c"], ends[1]), None], pa.binary()), "tokens": pa.array([None] * n + sums[:1], pa.int64()), "distinct": pa.array([None] * n + sums[1:], pa.int64()),
-        })
+        cut = lambda x, e: [x[i:j] for i, j in zip(e[:-1], e[1:], strict=True)]
+        rows = ([x.tobytes() for x in cut(levels["a"], ends[0])], [_planes(x, "<u8") for x in cut(counts, ends[0])], [x.tobytes() for x in cut(levels["c"], ends[1])])
+        said = [pa.array([*x, None], pa.binary()) for x in rows]
+        return pa.table([
+            pa.array([False] * (n + 1)), pa.array([*table.column("block").to_pylist(), -1], pa.int64()), pa.array([shard] * (n + 1), pa.int32()), *said, pa.nulls(n + 1, pa.binary()), pa.nulls(n + 1, pa.binary()),
+            pa.array([None] * n + sums[:1], pa.int64()), pa.array([None] * n + sums[1:], pa.int64()),
+        ], schema=_ANSWERED)
 
-    return stored(sent.groupBy("shard").applyInArrow(run, _ANSWER))
+    # A block has a key of its own, below 0.
+    key = F.when(F.col("shard") < 0, -1 - F.col("block")).otherwise(F.col("shard").cast("long"))
+    fields = "own boolean, block long, shard int, a binary, b binary, c binary, d binary, e binary, tokens long, distinct long"
+    return parted(rows.groupBy(key.alias("key")).applyInArrow(run, fields), "own", ["true", "false"])
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, block_tokens: int = BLOCK_TOKENS, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(row_id(docs, key), held_out.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    held, sent = blocks(rows, max(-(-size // shard_bytes), 1), block_tokens)
-    found = answers(sent.select("block", "shard", "a", "b", "c", "d"), bits_per_level)
-    forget(sent)
+    held, found = answered(blocks(rows, max(-(-size // shard_bytes), 1), block_tokens), bits_per_level)
+    sweep(docs.sparkSession)
     sums = found.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     total, distinct = sums["tokens"], sums["distinct"]
 
@@ -232,18 +242,19 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
         ids, out, sizes = (np.frombuffer(block.column(c)[0].as_buffer(), kind) for c, kind in zip("abc", (np.int64, np.uint8, np.int64), strict=True))
         at, of = (_numbers(block.column(c)[0].as_buffer()) for c in "de")
         said = said.take(pa.array(np.argsort(said.column("shard").to_numpy())))
-        joined = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in said.column(c)), kind)
+        joined = lambda c: np.frombuffer(b"".join(x.as_buffer() for x in said.column(c)), np.uint8)
+        counted = np.concatenate([_numbers(x.as_buffer(), "<u8") for x in said.column("b")]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        counts = joined("token_counts", np.int64)[at]
+        counts = counted[at]
         both, inner = np.zeros(len(at)), np.ones(len(at), bool)
         inner[starts[:-1]] = False
-        both[inner] = quantised(joined("pair_levels", np.uint8))[of]
-        chance = log_chances(quantised(joined("token_levels", np.uint8))[at], both, starts, total, distinct)
+        both[inner] = quantised(joined("c"))[of]
+        chance = log_chances(quantised(joined("a"))[at], both, starts, total, distinct)
         base = np.add.reduceat(np.log10((counts + FLOOR) / (total + FLOOR * (distinct + 1))), starts[:-1])
         known = np.add.reduceat((counts > 0).astype(np.int64), starts[:-1])
         return pa.table({"id": pa.array(ids), "held_out": pa.array(out.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(chance)})
 
-    own = held.groupBy("block").cogroup(found.filter("block >= 0").drop("tokens", "distinct").groupBy("block"))
+    own = held.drop("tokens", "distinct").groupBy("block").cogroup(found.filter("block >= 0").select("block", "shard", "a", "b", "c").groupBy("block"))
     return own.applyInArrow(finish, _SCORES).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
