@@ -118,13 +118,20 @@ def log_chances(tokens: np.ndarray, both: np.ndarray, starts: np.ndarray, total:
 
 
 def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
-    """Whole numbers from 0 on, first all low bytes and so on, as most high ones are zero."""
+    """Whole numbers from 0 on, packed: how many, then all low bytes and so on, as most high ones are zero."""
     x = x.astype(kind)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _numbers(planes: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _many(packed: bytes) -> int:
+    return int.from_bytes(bytes(packed[:8]), "little")
+
+
+def _numbers(packed: bytes, kind: str = "<u4") -> np.ndarray:
+    n, width = _many(packed), np.dtype(kind).itemsize
+    raw = pa.decompress(packed[8:], n * width, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel() if n else np.zeros(0, kind)
 
 
 def _ascending(x: np.ndarray) -> bytes:
@@ -214,7 +221,7 @@ def answered(rows: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> list[Data
             levels[grams] = Filter.of(kinds[there], total[there], bits_per_level).levels(kinds)[at]
             if grams == "a":
                 counts, sums = total[at], [int(total.sum()), int(there.sum())]
-        ends = [np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table.column(c))]) for c in "ac"]
+        ends = [np.cumsum([0, *(_many(x.as_buffer()) for x in table.column(c))]) for c in "ac"]
         cut = lambda x, e: [x[i:j] for i, j in zip(e[:-1], e[1:], strict=True)]
         rows = ([x.tobytes() for x in cut(levels["a"], ends[0])], [_planes(x, "<u8") for x in cut(counts, ends[0])], [x.tobytes() for x in cut(levels["c"], ends[1])])
         said = [pa.array([*x, None], pa.binary()) for x in rows]
