@@ -29,6 +29,8 @@ from chronocore.plans.storage import stored
 
 #: Edges that a task may hold, copies included, and edges that a slab is meant to hold.
 SLAB_EDGES, TARGET = 2_000_000, 100_000
+#: Core numbers, edges times scales, that a task may hold.
+CELLS = 1 << 26
 TOP = 2**31 - 1
 MOST_ROUNDS = 10_000
 _STATE = "e long, u long, v long, t long, slab long, deltas array<long>, values array<int>, changed boolean"
@@ -166,17 +168,25 @@ def fits(edges: DataFrame, dmax: int, width: int, most: int = SLAB_EDGES) -> boo
     return largest is None or largest <= most
 
 
-def staircases(edges: DataFrame, floor: int, dmax: int, width: int | None = None, most: int = SLAB_EDGES) -> DataFrame:
-    """(e, deltas, values) of every edge, stored: ascending scales from ``floor`` on, and the core number from each on."""
-    if not 0 <= floor <= dmax:
+def staircases(edges: DataFrame, floor: int, dmax: int | None = None, width: int | None = None, most: int = SLAB_EDGES) -> DataFrame:
+    """(e, deltas, values) of every edge, stored: ascending scales from ``floor`` on, and the core number from each on.
+
+    Without ``dmax`` scales go up to the time span, and the core numbers without a time scale are the bounds to start from.
+    """
+    if not 0 <= floor <= (floor if dmax is None else dmax):
         raise ValueError("0 <= floor <= dmax must hold")
     edges = edges.select("e", "u", "v", "t")
+    start = None
+    if dmax is None:
+        dmax = max(edges.agg(F.max("t") - F.min("t")).first()[0] or 0, floor)
+        start = stored(static_core(edges).withColumnRenamed("c", "start"))
     width = width or slab_width(edges, dmax)
-    if not fits(edges, dmax, width, most):
+    if not fits(edges, dmax, width, min(most, CELLS // (dmax - floor + 1))):
         return _by_scale(edges, floor, dmax)
     t = F.col("t")
     near = F.sequence(slab(t - dmax, width), slab(t + dmax, width))
-    state = edges.withColumns({"slab": slab(t, width), "deltas": F.array(F.lit(floor).cast("long")), "values": F.array(F.lit(TOP)), "changed": F.lit(True)})
+    state = edges.withColumn("start", F.lit(TOP)) if start is None else edges.join(start, "e")
+    state = state.withColumns({"slab": slab(t, width), "deltas": F.array(F.lit(floor).cast("long")), "values": F.array("start"), "changed": F.lit(True)}).drop("start")
     active = None
     for _ in range(MOST_ROUNDS):
         copies = state.withColumnRenamed("slab", "home").withColumn("slab", F.explode(near))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from chronocore.plans.queries import DELTA, DMAX, HOUR, LEVEL, WIDE
+from chronocore.operators.sweep import FACTORS, MODULUS
+from chronocore.plans.queries import BATCH, DELTA, DMAX, HOUR, LEVEL, WIDE
 
 _DAY = "date_diff('day', DATE '1970-01-01', {}::DATE)::BIGINT"
 _SUPPLIER = f"raw AS (SELECT DISTINCT l_suppkey::BIGINT AS u, 1000000000 + l_partkey::BIGINT AS v, {_DAY.format('l_shipdate')} AS t FROM lineitem)"
@@ -81,6 +82,8 @@ def oracle_sql() -> dict[str, str]:
     wide = _links(LEVEL, WIDE, rec + _at(WIDE)) + _PARTS
     lists = "SELECT e, '0' || coalesce(string_agg(',' || delta, '' ORDER BY delta), '') AS deltas, (SELECT min(c) FROM core WHERE core.e = edges.e) || coalesce(string_agg(',' || value, '' ORDER BY delta), '') AS values FROM edges LEFT JOIN bp USING (e) GROUP BY e"
     named = f"{rec}{_ALL} SELECT e, u, v, t, base, top FROM edges JOIN ({_DIRECTORY}) USING (e)"
+    a, b = FACTORS
+    drawn = f"q AS (SELECT (i * {a} + {b}) % {MODULUS} % (SELECT max(e) + 1 FROM edges) AS e, (i * {b} + {a}) % {MODULUS} AS y FROM range(0, {BATCH}) r(i))"
     return {
         "graph_edges": f"{whole} SELECT e, u, v, t FROM edges",
         "text_edge_list": f"{whole} SELECT e, u, v, t FROM edges",
@@ -115,6 +118,8 @@ SELECT e, min(c) AS c FROM sides JOIN kappa USING (x) GROUP BY e""",
         "query_onset": f"{rec}{_ALL}, q AS (SELECT e, e % 3 + 1 AS k FROM edges) SELECT e, k, coalesce((SELECT min(d) FROM core WHERE core.e = q.e AND c >= k), -1) AS delta FROM q",
         "query_area": f"{rec}{_ALL} SELECT e, e % 2 AS a, {DMAX + 1}::BIGINT AS b, sum(c) FILTER (d >= e % 2)::BIGINT AS area FROM core GROUP BY e",
         "query_snapshot": f"{rec}{_ALL} SELECT e, c FROM core WHERE d = {DMAX}",
+        "query_point_batch": f"{rec}{_ALL}, {drawn} SELECT q.e, y % {DMAX + 1} AS delta, c FROM q JOIN core ON core.e = q.e AND d = y % {DMAX + 1}",
+        "query_onset_batch": f"{rec}{_ALL}, {drawn} SELECT e, y % 3 + 1 AS k, coalesce((SELECT min(d) FROM core WHERE core.e = q.e AND c >= y % 3 + 1), -1) AS delta FROM q",
         "level_sets": f"{rec}{_ALL}{_onsets()} SELECT k, e, delta FROM onsets",
         "level_sizes": f"{rec}{_ALL}{_onsets()} SELECT k, count(*) AS n FROM onsets GROUP BY k",
         "active_edges": f"{rec}{_ALL} SELECT e FROM core WHERE d = {DMAX} AND c >= {LEVEL}",

@@ -15,7 +15,7 @@ from chronocore.sources import edge_list, index_files
 
 #: Scales in days; the index goes from 0 to DMAX. SQL solves each scale apart, so DMAX is small.
 DELTA, WIDE, DMAX, LEVEL = 7, 30, 3, 2
-HOUR = 60
+HOUR, BATCH = 60, 10_000
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -137,11 +137,11 @@ def query_snapshot(spark, d):
 
 
 def query_point_batch(spark, d):
-    return sweep.point_batch(_index(_edges(spark, d)), 10_000, 0, DMAX)
+    return sweep.point_batch(_index(_edges(spark, d)), BATCH, 0, DMAX).select("e", "delta", F.col("c").cast("long").alias("c"))
 
 
 def query_onset_batch(spark, d):
-    return sweep.onset_batch(_index(_edges(spark, d)), 10_000, 3)
+    return sweep.onset_batch(_index(_edges(spark, d)), BATCH, 3).select("e", F.col("k").cast("long").alias("k"), F.coalesce("delta", F.lit(-1)).alias("delta"))
 
 
 def level_sets(spark, d):

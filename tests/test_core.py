@@ -114,6 +114,23 @@ def test_random_graphs_against_plain_peel(spark, seed):
         assert rows(merges.communities(u, g, ix, k, d)) == truth
 
 
+def test_whole_span_and_large_steps(spark, monkeypatch):
+    graph = random_graph(7, m=30, nodes=5, span=12)
+    g = stored(spark.createDataFrame(graph, "e long, u long, v long, t long"))
+    span = max(t for *_, t in graph) - min(t for *_, t in graph)
+    ix = stored(staircase.staircases(g, 0))
+    for d in (0, 1, 4, span):
+        assert dict(rows(index.snapshot(ix, d, 0, span))) == plain_core(graph, d)
+    assert rows(staircase.staircases(g.limit(0), 0)) == []
+    monkeypatch.setattr(staircase, "CELLS", 20)  # too many scales for a task
+    assert rows(staircase.staircases(g, 0, 3)) == rows(staircase._by_scale(g, 0, 3))
+    from chronocore.functions.columns import slab
+
+    big = 2**62 + 1
+    df = spark.createDataFrame([(t,) for t in (-7, -5, 0, 4, 5, big)], "t long")
+    assert [r[0] for r in df.select(slab(F.col("t"), 5)).collect()] == [t // 5 for t in (-7, -5, 0, 4, 5, big)]
+
+
 def test_queries_and_their_bounds(spark, golden):
     _, ix = golden
     q = spark.createDataFrame([(0, 0), (0, 4), (0, 9), (0, 10), (6, -1), (99, 1)], "e long, delta long")
