@@ -18,20 +18,25 @@ def _graph(raw: str = _SUPPLIER, recursive: bool = False) -> str:
 
 
 def _core(scales: str, reach: int) -> str:
-    """core(d, e, c): the downward fixpoint of h-indexes, at each scale of ``scales`` apart."""
+    """core(d, e, c): the downward fixpoint of h-indexes, at each scale of ``scales`` apart.
+
+    An edge alone in a window has 1 and adds to no h-index over 1, so rounds go over the others and leave out what falls to 1;
+    a scale in which nothing has changed is done.
+    """
     return f""",
 scales AS ({scales}),
 nb AS (SELECT a.e, a.s, b.e AS f, abs(a.t - b.t) AS gap FROM sides a JOIN sides b ON a.x = b.x AND abs(a.t - b.t) <= {reach}),
 it AS (
-  SELECT 0 AS i, d, e, 1000000::BIGINT AS c, 1 AS ch FROM edges, scales
+  SELECT 0 AS i, d, e, min(n) AS c, 1 AS ch FROM (SELECT d, e, s, count(*) AS n FROM nb JOIN scales ON gap <= d GROUP BY d, e, s) GROUP BY d, e HAVING min(n) >= 2
   UNION ALL
-  SELECT i, d, e, h, max(CASE WHEN h < c THEN 1 ELSE 0 END) OVER () FROM (
-    SELECT i, d, e, min(h) AS h, any_value(own) AS c FROM (
-      SELECT i, d, e, s, own, count(*) FILTER (c >= rn) AS h FROM (
-        SELECT o.i + 1 AS i, o.d, nb.e, nb.s, o.c AS own, n.c, row_number() OVER (PARTITION BY o.d, nb.e, nb.s ORDER BY n.c DESC) AS rn
-        FROM it o JOIN nb ON o.e = nb.e AND nb.gap <= o.d JOIN it n ON n.e = nb.f AND n.d = o.d WHERE o.ch = 1)
-      GROUP BY i, d, e, s, own) GROUP BY i, d, e)),
-core AS (SELECT d, e, c FROM it WHERE i = (SELECT max(i) FROM it))"""
+  SELECT i, d, e, h, ch FROM (
+    SELECT i, d, e, h, max(CASE WHEN h < c THEN 1 ELSE 0 END) OVER (PARTITION BY d) AS ch FROM (
+      SELECT i, d, e, min(h) AS h, any_value(own) AS c FROM (
+        SELECT i, d, e, s, own, count(*) FILTER (c >= rn) AS h FROM (
+          SELECT o.i + 1 AS i, o.d, nb.e, nb.s, o.c AS own, n.c, row_number() OVER (PARTITION BY o.d, nb.e, nb.s ORDER BY n.c DESC) AS rn
+          FROM it o JOIN nb ON o.e = nb.e AND nb.gap <= o.d JOIN it n ON n.e = nb.f AND n.d = o.d WHERE o.ch = 1)
+        GROUP BY i, d, e, s, own) GROUP BY i, d, e)) WHERE h >= 2),
+core AS (SELECT scales.d, edges.e, coalesce(c, 1) AS c FROM edges CROSS JOIN scales LEFT JOIN (SELECT d, e, c FROM it WHERE ch = 0) f ON f.d = scales.d AND f.e = edges.e)"""
 
 
 _ALL = _core(f"SELECT unnest(range(0, {DMAX + 1})) AS d", DMAX)

@@ -13,8 +13,8 @@ from chronocore.plans.graphs import customer_supplier, supplier_part, user_event
 from chronocore.plans.storage import session_dir, stored
 from chronocore.sources import edge_list, index_files
 
-#: Scales in days; the index goes from 0 to DMAX. SQL solves each scale apart, so DMAX is small.
-DELTA, WIDE, DMAX, LEVEL = 7, 30, 3, 2
+#: Scales in days; the index goes from 0 to DMAX.
+DELTA, WIDE, DMAX, LEVEL = 7, 30, 30, 2
 HOUR, BATCH = 60, 10_000
 
 
