@@ -47,6 +47,8 @@ FEW, NEXT = 8, 2
 BLOCK_DEPTH, BLOCK, BLOCK_WORDS = 3, 512, 1 << 22
 #: At this depth keys are used up: the least LEADERS members of a group are compared with all others, and then the next.
 DEPTH, LEADERS = 8, 64
+#: Counters of a text's words by hash; the sum of the lesser ones is no less than the number of words in common.
+COUNTERS = 128
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -207,6 +209,82 @@ def compared(members: DataFrame, words: DataFrame, similarity: float) -> DataFra
     return rows.repartition(parts, "bucket").groupBy("bucket").applyInPandas(run, "a binary, b binary")
 
 
+def _counters(texts: list[np.ndarray]) -> np.ndarray:
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    kind = np.concatenate([*texts, np.zeros(0, np.uint32)]) % COUNTERS
+    return np.bincount(owner * COUNTERS + kind, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
+
+
+def between(first: pd.DataFrame, second: pd.DataFrame | None, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the rows (node, component, words) of ``first``, or between those of both."""
+    whole = first if second is None else pd.concat([first, second], ignore_index=True)
+    nodes = whole["node"].tolist()
+    part = pd.factorize(whole["component"])[0]
+    texts = [np.frombuffer(x, np.uint32) for x in whole["words"]]
+    length, counters = np.array([len(x) for x in texts]), _counters(texts)
+    found = []
+    for j in range(1 if second is None else len(first), len(nodes)):
+        to = j if second is None else len(first)
+        least = similarity * np.maximum(length[:to], length[j]) - 1e-9
+        near = np.flatnonzero((part[:to] != part[j]) & (np.minimum(length[:to], length[j]) >= least))
+        near = near[np.minimum(counters[near], counters[j]).sum(axis=1) >= least[near]]
+        for i in near.tolist():
+            if part[i] != part[j] and alike(texts[i], texts[j], similarity):
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                part[part == part[j]] = part[i]
+    return found
+
+
+def rest(members: DataFrame, found: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join components of ``found`` and lie within a group of ``members`` (bucket, node).
+
+    Every two members are compared unless they are in one component by then; groups of the same members are one. The
+    largest group of each component goes first, as it joins most of what the other groups would align again.
+    """
+    parts = connected_components(found)
+    # Hashes of components are enough to tell them apart; all members are shuffled once, those of open groups after that.
+    label = F.xxhash64(F.coalesce("component", "node"))
+    named = stored(members.join(parts, "node", "left").select("bucket", "node", label.alias("component")))
+    named = stored(named.join(hinted(stored(_open(named))), "bucket", "left_semi"))
+    sized = words.select(F.col("content").alias("node"), (F.length("words") / 4).cast("long").alias("n_words"))
+    group = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)]
+    size = named.join(sized, "node").groupBy("bucket").agg(*group, F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
+    size = size.groupBy("same0", "same1", "n").agg(F.min("bucket").alias("bucket"), F.first("n_words").alias("n_words"))
+    size = size.select("bucket", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    named = stored(named.join(size, "bucket"))
+    some = hinted(stored(named.groupBy("component").agg(F.max(F.struct("n", "bucket")).alias("most")).select("most.bucket").distinct()))
+    one = _compared_in_full(named.join(some, "bucket", "left_semi"), words, similarity)
+    left = named.join(some, "bucket", "left_anti")
+    if not one.isEmpty():
+        label = named.select("node", "component").distinct()
+        ends = one.join(label.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        left = left.join(joined, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+    left = stored(left)
+    return one.unionByName(_compared_in_full(left.join(_open(left), "bucket", "left_semi"), words, similarity))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """(bucket) of groups in more than one component."""
+    return named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+
+
+def _compared_in_full(named: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links of groups (bucket, node, component, blocks): a task for every two blocks of a group. Stored."""
+    rows = named.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    rows = rows.join(words.select(F.col("content").alias("node"), "words"), "node")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        one, two = (pdf[pdf["block"] == i].reset_index(drop=True) for i in key[1:])
+        return pd.DataFrame(between(one, None if key[1] == key[2] else two, similarity), columns=["a", "b"])
+
+    # Few rows with much work each: as many partitions as a shuffle has, not joined by their bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary"))
+
+
 def _keys(pairs: int, band: Column, most: int) -> Column:
     """The first keys of a function."""
     return F.array_distinct(F.slice("keys", band * pairs + 1, min(pairs, most)))
@@ -221,7 +299,7 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
     functions = (F.size("keys") / pairs).cast("int")
     members = nodes.filter("keys is not null").select(F.posexplode(F.transform(F.sequence(F.lit(0), functions - 1), lambda i: _keys(pairs, i, pairs))).alias("band", "own"), F.col("content").alias("node"))
     members = members.select("band", F.explode("own").alias("key"), "node").select(F.xxhash64("band", "key").alias("bucket"), "band", "node")
-    known = words = within = None
+    known = words = within = first = None
     for depth in count(1):
         if depth >= BLOCK_DEPTH:
             size = stored(members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).filter("n > 1"))
@@ -233,6 +311,7 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
             members = members.join(size.filter(~fits), "bucket", "left_semi")
         groups = _groups(members)
         words = lists(groups.select(F.col("node").alias("content")).distinct()) if words is None else words
+        first = groups.filter(F.col("n") > FEW).select("bucket", "node") if first is None else first
         stars = _stars(groups, FEW, 1 if depth < DEPTH else LEADERS)
         edges = _few(groups, FEW).unionByName(stars.select(F.col("leader").alias("a"), F.col("node").alias("b"))).distinct()
         edges = edges.join(known, ["a", "b"], "left_anti") if known is not None else edges
@@ -252,7 +331,8 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
         more = more.select("bucket", "band", "node", "n_words", F.explode(_keys(pairs, F.col("band"), NEXT)).alias("key"))
         members = stored(more.select(F.xxhash64("bucket", "band", "key").alias("bucket"), "band", "node", "n_words").distinct())
     found = known.filter("linked").select("a", "b")
-    return found if within is None else found.unionByName(within)
+    found = stored(found if within is None else found.unionByName(within))
+    return found.unionByName(rest(first, found, words, similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, functions: int = FUNCTIONS, minima: int = MINIMA, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -147,6 +147,27 @@ def test_large_groups_go_on_without_loss(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == parts_of(links, words)
 
 
+def test_every_pair_with_a_common_key_is_settled(spark, monkeypatch):
+    """Groups over FEW by a passage in all texts: pairs of worn copies share few keys, and their leader is another text."""
+    for name, value in (("FEW", 2), ("BLOCK", 9)):
+        monkeypatch.setattr(near, name, value)
+    r = random.Random(90)
+    passage = text(20, r)
+    rows = []
+    for i in range(40):
+        one = text(70, r).split()
+        rows += [(2 * i, f"{passage} {' '.join(one)}"), (2 * i + 1, f"{passage} {' '.join(replaced(one, range(4, 70, 5)))}")]
+    t = textops.tokens(pa.array([x for _, x in rows]), textops.word_bytes(), textops.byte_values())
+    words = [t.hashes[a:b] for a, b in zip(t.starts[:-1], t.starts[1:], strict=True)]
+    keys = near.order_minhash(*textops.ngrams(t, near.WORDS)).reshape(len(rows), near.FUNCTIONS, near.PAIRS)
+    met = lambda i, j: any(len(np.intersect1d(*k)) for k in zip(keys[i], keys[j], strict=True))
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if met(i, j) and alike(words[i], words[j], near.SIMILARITY)]
+    got = defaultdict(set)
+    for x in near.classes(docs(spark, rows)).collect():
+        got[x.class_id].add(x.id)
+    assert sorted(map(sorted, got.values())) == parts_of(links, [i for i, _ in rows])
+
+
 def test_compact_windows_cover_every_stretch():
     r = random.Random(4)
     for _ in range(60):
