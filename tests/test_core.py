@@ -200,3 +200,28 @@ def test_star_and_one_time(spark):
     assert edges.window_degrees(g, 6).agg(F.max("degree")).first()[0] == 1
     same = stored(edges.canonical(spark.createDataFrame([(a, b, 5) for a in range(5) for b in range(a)] + [(3, 3, 5)], "u long, v long, t long")))
     assert rows(staircase.staircases(same, 0, 0)) == [(e, [0], [4]) for e in range(10)]
+
+
+def test_distances_and_onsets_against_plain():
+    """Each place's least distance that holds k places, in runs of a vertex; gaps over dmax count as larger."""
+    import numpy as np
+
+    r = random.Random(12)
+    for _ in range(300):
+        n, dmax = r.randint(1, 30), r.randint(0, 9)
+        ends = sorted((r.randrange(4), r.randrange(25)) for _ in range(n))
+        axis = staircase.local_axis(*(np.array(c, np.int64) for c in zip(*ends, strict=True)), dmax)
+        for k in (2, 3, 4, 7):
+            found = staircase.reach(axis, k)
+            for i, (x, t) in enumerate(ends):
+                near = sorted(abs(s - t) for y, s in ends if y == x)
+                truth = near[k - 1] if len(near) >= k else dmax + 1
+                assert found[i] == truth if truth <= dmax else found[i] > dmax
+
+
+def test_dense_times_keep_their_slabs(spark):
+    """Slabs get narrower than four times dmax, where they would hold too many edges, before scales are peeled one by one."""
+    g = stored(spark.range(4000).selectExpr("id AS e", "id % 50 AS u", "1000 + id % 77 AS v", "id % 200 AS t"))
+    width = staircase.slab_width(g, 10, most=1000)
+    assert 10 <= width < 40 and staircase.fits(g, 10, width, 1000) and staircase.slab_width(g, 10) >= 40
+    assert rows(staircase.staircases(g, 0, 10, width, most=1000)) == rows(staircase.staircases(g, 0, 10, 200))
