@@ -247,6 +247,17 @@ def test_recall_of_edited_passages(spark):
         assert np.mean([i in found for i in own]) >= 0.9, kind
 
 
+def test_edited_passages_of_two_greater_documents(spark):
+    """A lesser document holds the first 45 words, so it leads the groups of their tokens; the others share an edited passage."""
+    r, rows = random.Random(80), []
+    for k in range(30):
+        shared = text(60, r).split()
+        worn = replaced(shared, {10, 22, 34, 46})
+        rows += [(k, f"{text(30, r)} {' '.join(shared[:45])} {text(30, r)}"), (1000 + k, f"{text(20, r)} {' '.join(shared)} {text(20, r)}"), (2000 + k, f"{text(9, r)} {' '.join(worn)} {text(20, r)}")]
+    couples = {(x.lead, x.id) for x in passages.pairs(passages.members(passages.windows(docs(spark, rows)))).collect()}
+    assert np.mean([(1000 + k, 2000 + k) in couples for k in range(30)]) >= 0.9
+
+
 def replaced(words, places):
     return [f"z{R.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
 
