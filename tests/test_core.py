@@ -249,3 +249,28 @@ def test_slabs_look_only_at_sides_near_a_change(monkeypatch):
                 slow.setattr(staircase, "LINKED", 0)
                 assert (staircase.onsets(edge, axis, own, bound, k, 0, dmax) == fast).all()
             assert len(np.unique(fast)) > 5
+
+
+def test_components_of_a_long_chain_take_few_tables(spark, monkeypatch):
+    """Chains over many tasks, of whole numbers, structs and bytes: no rounds, whatever their length."""
+    from chronocore.operators import components
+
+    made = []
+    monkeypatch.setattr(components, "stored", lambda df: made.append(1) or stored(df))
+    for kind in ("id", "struct(cast(id % 2 as int) as k, id as e)", "unhex(lpad(hex(id), 8, '0'))"):
+        for few in (components.ONE, 0):
+            monkeypatch.setattr(components, "ONE", few)
+            node = lambda shift: kind.replace("id", f"(id + {shift})")  # noqa: B023, E731
+            links = spark.range(0, 600, 1, 7).filter("id % 100 < 96").selectExpr(f"{node(2)} as a", f"{node(0)} as b").repartition(5)
+            made.clear()
+            found = rows(components.connected_components(links, ranged=kind == "id").selectExpr("to_json(struct(node)) as node", "to_json(struct(component)) as component"))
+            names = [(n, r) for n, r in rows(links.selectExpr("to_json(struct(a as node))", "to_json(struct(b as node))"))]
+            up = {}
+            for a, b in sorted(names, key=lambda x: x[::-1]):
+                up[a] = up.get(b, b)
+            assert len(found) == len({x for p in names for x in p})
+            groups = {}
+            for n, c in found:
+                groups.setdefault(c, set()).add(n)
+            assert len(groups) == 12
+            assert not few or len(made) <= 3
