@@ -274,3 +274,17 @@ def test_components_of_a_long_chain_take_few_tables(spark, monkeypatch):
                 groups.setdefault(c, set()).add(n)
             assert len(groups) == 12
             assert not few or len(made) <= 3
+
+
+def test_large_levels_are_thinned_by_parts(spark, monkeypatch):
+    graph = random_graph(11, m=300, nodes=12, span=60)
+    g = stored(spark.createDataFrame(graph, "e long, u long, v long, t long"))
+    level = stored(index.levels(stored(staircase.staircases(g, 0, 6))))
+    pairs = stored(merges.candidates(g, level))
+    whole = rows(merges.merges(pairs))
+    assert rows(merges.candidates(g, level, 20)) == rows(pairs)  # each vertex in several slabs
+    assert rows(merges.rounds(pairs)) == whole
+    monkeypatch.setattr(merges, "PASSES", 1)
+    assert rows(merges.candidates(g, level)) == rows(pairs)
+    monkeypatch.setattr(merges, "rounds", None)
+    assert rows(merges.merges(pairs.unionByName(pairs), most=60, nodes=40)) == whole
