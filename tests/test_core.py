@@ -288,3 +288,11 @@ def test_large_levels_are_thinned_by_parts(spark, monkeypatch):
     assert rows(merges.candidates(g, level)) == rows(pairs)
     monkeypatch.setattr(merges, "rounds", None)
     assert rows(merges.merges(pairs.unionByName(pairs), most=60, nodes=40)) == whole
+
+
+def test_index_is_not_broadcast(spark, golden):
+    g, ix = golden
+    queries = g.select("e", F.lit(0).alias("a"), F.lit(9).alias("b"), F.lit(1).alias("delta"), F.lit(2).alias("k"))
+    level = stored(index.levels(ix))
+    some = [index.area(ix, queries), index.point(ix, queries, 0, 9), index.onset(ix, queries), communities.links(g, ix.select("e"), 1), merges.candidates(g, level), merges.live(g.selectExpr("e as a", "e + 1 as b"), g, ix, 1, 3)]
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in some)
