@@ -163,8 +163,9 @@ def verified(edges: DataFrame, lists: DataFrame, similarity: float = SIMILARITY)
 
 def _groups(members: DataFrame) -> DataFrame:
     """Members (bucket, band, node) of groups of two at least, with leader and size."""
-    size = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    return stored(members.join(size, "bucket"))
+    # Members are shuffled once; a window spills, so a large group needs no room for all of its rows.
+    own = Window.partitionBy("bucket")
+    return stored(members.withColumns({"leader": F.min("node").over(own), "n": F.count("*").over(own)}).filter("n > 1"))
 
 
 def _few(groups: DataFrame, most: int) -> DataFrame:
@@ -244,14 +245,16 @@ def rest(members: DataFrame, found: DataFrame, words: DataFrame, similarity: flo
     parts = connected_components(found)
     # Hashes of components are enough to tell them apart; all members are shuffled once, those of open groups after that.
     label = F.xxhash64(F.coalesce("component", "node"))
-    named = stored(members.join(parts, "node", "left").select("bucket", "node", label.alias("component")))
+    # A row for each text has its component and size, so that memberships are joined once.
+    sized = words.select(F.col("content").alias("node"), (F.length("words") / 4).cast("long").alias("n_words")).join(parts, "node", "left")
+    sized = stored(sized.select("node", "n_words", label.alias("component")))
+    named = stored(members.join(sized, "node"))
     named = stored(named.join(hinted(stored(_open(named))), "bucket", "left_semi"))
-    sized = words.select(F.col("content").alias("node"), (F.length("words") / 4).cast("long").alias("n_words"))
     group = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)]
-    size = named.join(sized, "node").groupBy("bucket").agg(*group, F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
+    size = named.groupBy("bucket").agg(*group, F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
     size = size.groupBy("same0", "same1", "n").agg(F.min("bucket").alias("bucket"), F.first("n_words").alias("n_words"))
     size = size.select("bucket", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    named = stored(named.join(size, "bucket"))
+    named = stored(named.drop("n_words").join(size, "bucket"))
     some = hinted(stored(named.groupBy("component").agg(F.max(F.struct("n", "bucket")).alias("most")).select("most.bucket").distinct()))
     one = _compared_in_full(named.join(some, "bucket", "left_semi"), words, similarity)
     left = named.join(some, "bucket", "left_anti")

@@ -455,3 +455,18 @@ def test_tokens_and_ngrams_against_plain(n):
         for g, h in zip(own, grams[starts[i] : starts[i + 1]].tolist(), strict=True):
             assert seen.setdefault(g, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_members_of_groups_are_shuffled_once(spark):
+    members = spark.range(40).selectExpr("id % 13 + if(id > 30, id, 0) as bucket", "0 as band", "cast(cast(id as string) as binary) as node")
+    found = near._groups(members)
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.bucket, []).append(bytes(r.node))
+    truth = {(b, n, min(g), len(g)) for b, g in groups.items() if len(g) > 1 for n in g}
+    assert {(r.bucket, bytes(r.node), bytes(r.leader), r.n) for r in found.collect()} == truth
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near, "stored", lambda df: made.append(df) or df)
+        near._groups(members)
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
