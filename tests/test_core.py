@@ -296,3 +296,13 @@ def test_index_is_not_broadcast(spark, golden):
     level = stored(index.levels(ix))
     some = [index.area(ix, queries), index.point(ix, queries, 0, 9), index.onset(ix, queries), communities.links(g, ix.select("e"), 1), merges.candidates(g, level), merges.live(g.selectExpr("e as a", "e + 1 as b"), g, ix, 1, 3)]
     assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in some)
+
+
+def test_slabs_widen_when_edges_are_done(spark, monkeypatch):
+    graph = random_graph(23, m=200, nodes=30, span=90)
+    g = stored(spark.createDataFrame(graph, "e long, u long, v long, t long"))
+    whole, widths = rows(staircase.staircases(g, 0, 6, width=400)), []
+    plain = staircase.slab_width
+    monkeypatch.setattr(staircase, "slab_width", lambda df, dmax: widths.append(plain(df, dmax, 20, 80)) or widths[-1])
+    assert rows(staircase.staircases(g, 0, 6)) == whole
+    assert len(widths) == 2 and widths[1] > widths[0]
