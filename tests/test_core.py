@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronocore.operators import communities, edges, forest, index, merges, staircase, sweep
-from chronocore.plans.storage import stored
+from chronocore.plans.storage import dealt, stored
 
 # Golden table: lines, and by edge (base, steps, area over 0 .. 8).
 LINES = [(10, 20, 0), (20, 30, 1), (30, 10, 2), (10, 20, 2), (20, 10, 5), (30, 40, 9), (40, 30, 9), (7, 7, 3), (30, 20, 6)]
@@ -306,3 +306,10 @@ def test_slabs_widen_when_edges_are_done(spark, monkeypatch):
     monkeypatch.setattr(staircase, "slab_width", lambda df, dmax: widths.append(plain(df, dmax, 20, 80)) or widths[-1])
     assert rows(staircase.staircases(g, 0, 6)) == whole
     assert len(widths) == 2 and widths[1] > widths[0]
+
+
+def test_groups_are_dealt_in_turn(spark):
+    rows = spark.range(0, 240, numPartitions=3).select(F.pmod("id", F.lit(12)).alias("slab"), "id")
+    found = dealt(rows, F.col("slab"), 12, "slab").applyInPandas(lambda pdf: pdf.assign(n=len(pdf))[["slab", "n"]], "slab long, n long")
+    got = set(found.withColumn("task", F.spark_partition_id()).collect())
+    assert {tuple(x)[:2] for x in got} == {(i, 20) for i in range(12)} and len({x.task for x in got}) == 12
