@@ -313,3 +313,16 @@ def test_groups_are_dealt_in_turn(spark):
     found = dealt(rows, F.col("slab"), 12, "slab").applyInPandas(lambda pdf: pdf.assign(n=len(pdf))[["slab", "n"]], "slab long, n long")
     got = set(found.withColumn("task", F.spark_partition_id()).collect())
     assert {tuple(x)[:2] for x in got} == {(i, 20) for i in range(12)} and len({x.task for x in got}) == 12
+
+
+def test_trees_of_several_levels_beside_large_ones(spark, monkeypatch):
+    """A community from the trees of one level alone is that from all trees, however trees are dealt to tasks."""
+    g = stored(spark.createDataFrame(random_graph(11, m=300, nodes=12, span=60), "e long, u long, v long, t long"))
+    ix = staircase.staircases(g, 0, 6)
+    whole = forest.build(merges.build(g, ix), stored(index.levels(ix)))
+    monkeypatch.setattr(forest, "LARGE", 2)
+    dealt_ = forest.build(merges.build(g, ix), stored(index.levels(ix)))
+    alone = forest.build(merges.build(g, ix, only=2), stored(index.levels(ix, only=2)))
+    for i in range(2):
+        assert rows(whole[i]) == rows(dealt_[i])
+        assert rows(whole[i].filter("k = 2")) == rows(alone[i])
