@@ -35,7 +35,7 @@ from chronocore.llm import textops
 from chronocore.llm.align import alike
 from chronocore.llm.shared import NULL_ID, documents, fresh, given_id, row_id
 from chronocore.operators.components import connected_components
-from chronocore.plans.storage import hinted, stored
+from chronocore.plans.storage import forget, hinted, stored, sweep
 
 WORDS, SIMILARITY = 5, 0.8
 #: Hash functions, and minima of each. With a k-mer overlap (Jaccard) of a fifth, as of texts with a fifth of their words edited, two texts share a key with a chance of 0.96.
@@ -216,9 +216,14 @@ def _counters(texts: list[np.ndarray]) -> np.ndarray:
     return np.bincount(owner * COUNTERS + kind, minlength=len(texts) * COUNTERS).reshape(-1, COUNTERS).astype(np.int32)
 
 
-def between(first: pd.DataFrame, second: pd.DataFrame | None, similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links that join components among the rows (node, component, words) of ``first``, or between those of both."""
+def between(first: pd.DataFrame, second: pd.DataFrame | None, similarity: float, bucket: int | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the rows (node, component, words) of ``first``, or between those of both.
+
+    With a ``bucket``, rows have the groups of each text that are compared now (``also``) and those that were (``before``):
+    two texts are aligned in the least group that they share, and not again if they shared one before.
+    """
     whole = first if second is None else pd.concat([first, second], ignore_index=True)
+    also, before = ([frozenset(() if x is None else x) for x in whole[c]] if bucket is not None else [] for c in ("also", "before"))
     nodes = whole["node"].tolist()
     part = pd.factorize(whole["component"])[0]
     texts = [np.frombuffer(x, np.uint32) for x in whole["words"]]
@@ -230,7 +235,9 @@ def between(first: pd.DataFrame, second: pd.DataFrame | None, similarity: float)
         near = np.flatnonzero((part[:to] != part[j]) & (np.minimum(length[:to], length[j]) >= least))
         near = near[np.minimum(counters[near], counters[j]).sum(axis=1) >= least[near]]
         for i in near.tolist():
-            if part[i] != part[j] and alike(texts[i], texts[j], similarity):
+            if part[i] == part[j] or bucket is not None and (min(also[i] & also[j]) != bucket or before[i] & before[j]):
+                continue
+            if alike(texts[i], texts[j], similarity):
                 found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
                 part[part == part[j]] = part[i]
     return found
@@ -243,12 +250,13 @@ def rest(members: DataFrame, found: DataFrame, words: DataFrame, similarity: flo
     largest group of each component goes first, as it joins most of what the other groups would align again.
     """
     parts = connected_components(found)
-    # Hashes of components are enough to tell them apart; all members are shuffled once, those of open groups after that.
+    # Hashes of components are enough to tell them apart; members of open groups are shuffled after that.
     label = F.xxhash64(F.coalesce("component", "node"))
-    # A row for each text has its component and size, so that memberships are joined once.
+    # A text's groups, one for each of its keys at most, are one row until its component is joined to it.
     sized = words.select(F.col("content").alias("node"), (F.length("words") / 4).cast("long").alias("n_words")).join(parts, "node", "left")
     sized = stored(sized.select("node", "n_words", label.alias("component")))
-    named = stored(members.join(sized, "node"))
+    own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    named = stored(own.join(sized, "node").select("node", "n_words", "component", F.explode("buckets").alias("bucket")))
     named = stored(named.join(hinted(stored(_open(named))), "bucket", "left_semi"))
     group = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"same{i}") for i in range(2)]
     size = named.groupBy("bucket").agg(*group, F.count("*").alias("n"), F.sum("n_words").alias("n_words"))
@@ -256,7 +264,8 @@ def rest(members: DataFrame, found: DataFrame, words: DataFrame, similarity: flo
     size = size.select("bucket", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
     named = stored(named.drop("n_words").join(size, "bucket"))
     some = hinted(stored(named.groupBy("component").agg(F.max(F.struct("n", "bucket")).alias("most")).select("most.bucket").distinct()))
-    one = _compared_in_full(named.join(some, "bucket", "left_semi"), words, similarity)
+    largest = stored(named.join(some, "bucket", "left_semi"))
+    one = _compared_in_full(largest, words, similarity)
     left = named.join(some, "bucket", "left_anti")
     if not one.isEmpty():
         label = named.select("node", "component").distinct()
@@ -264,7 +273,7 @@ def rest(members: DataFrame, found: DataFrame, words: DataFrame, similarity: flo
         joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
         left = left.join(joined, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
     left = stored(left)
-    return one.unionByName(_compared_in_full(left.join(_open(left), "bucket", "left_semi"), words, similarity))
+    return one.unionByName(_compared_in_full(left.join(_open(left), "bucket", "left_semi"), words, similarity, largest))
 
 
 def _open(named: DataFrame) -> DataFrame:
@@ -272,16 +281,21 @@ def _open(named: DataFrame) -> DataFrame:
     return named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
 
 
-def _compared_in_full(named: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Links of groups (bucket, node, component, blocks): a task for every two blocks of a group. Stored."""
-    rows = named.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    rows = rows.join(words.select(F.col("content").alias("node"), "words"), "node")
+def _compared_in_full(named: DataFrame, words: DataFrame, similarity: float, before: DataFrame | None = None) -> DataFrame:
+    """Links of groups (bucket, node, component, blocks) that those of ``before`` leave: a task for every two blocks of a group. Stored."""
+    # A text's groups are one row until its words are joined to it.
+    own = named.groupBy("node").agg(F.collect_list(F.struct("bucket", "component", "blocks")).alias("all"))
+    was = F.lit(None).cast("array<long>").alias("before") if before is None else F.col("before")
+    own = own if before is None else own.join(before.groupBy("node").agg(F.collect_list("bucket").alias("before")), "node", "left")
+    own = own.join(words.select(F.col("content").alias("node"), "words"), "node")
+    rows = own.select("node", "words", F.col("all.bucket").alias("also"), was, F.explode("all").alias("g")).select("node", "words", "also", "before", "g.*")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "words", "also", "before")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
         one, two = (pdf[pdf["block"] == i].reset_index(drop=True) for i in key[1:])
-        return pd.DataFrame(between(one, None if key[1] == key[2] else two, similarity), columns=["a", "b"])
+        return pd.DataFrame(between(one, None if key[1] == key[2] else two, similarity, key[0]), columns=["a", "b"])
 
     # Few rows with much work each: as many partitions as a shuffle has, not joined by their bytes.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -313,6 +327,8 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
                 break
             members = members.join(size.filter(~fits), "bucket", "left_semi")
         groups = _groups(members)
+        if depth == 1:  # the shuffle of all keys is the largest one
+            sweep(groups.sparkSession)
         words = lists(groups.select(F.col("node").alias("content")).distinct()) if words is None else words
         first = groups.filter(F.col("n") > FEW).select("bucket", "node") if first is None else first
         stars = _stars(groups, FEW, 1 if depth < DEPTH else LEADERS)
@@ -341,7 +357,9 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
 def classes(docs: DataFrame, similarity: float = SIMILARITY, functions: int = FUNCTIONS, minima: int = MINIMA, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, content, class_id, class_size) of every row of ``docs``."""
     rows = sketched(docs, functions, minima, text, key)
-    nodes = stored(rows.groupBy("content").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    sketches, rows = rows, stored(rows.select("id", "content"))
+    nodes = stored(sketches.groupBy("content").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    forget(sketches)
 
     def lists(ends: DataFrame) -> DataFrame:
         wanted = hinted(stored(nodes.join(ends, "content").select("id", "content")))
@@ -353,7 +371,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, functions: int = FU
     whole = nodes.select("id", "content", "n").join(parts, "content", "left").withColumn("component", F.coalesce("component", "content"))
     size = whole.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     named = stored(whole.join(size, "component").select("content", "class_id", "class_size"))
-    return rows.select("id", "content").join(named, "content")
+    return rows.join(named, "content")
 
 
 def _with_content(docs: DataFrame, text: str, name: str) -> DataFrame:

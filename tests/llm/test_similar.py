@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -470,3 +471,19 @@ def test_members_of_groups_are_shuffled_once(spark):
         patch.setattr(near, "stored", lambda df: made.append(df) or df)
         near._groups(members)
     assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_texts_of_several_groups_are_aligned_once(monkeypatch):
+    calls, plain = [], near.alike
+    monkeypatch.setattr(near, "alike", lambda x, y, s: calls.append(1) or plain(x, y, s))
+    r = np.random.default_rng(5)
+    words = [r.permutation(np.arange(40, dtype=np.uint32)).tobytes() for _ in range(4)]
+    whole = pd.DataFrame({"node": [b"a", b"b", b"c", b"d"], "component": [1, 2, 3, 4], "words": words, "also": [[1, 2], [2, 1], [1, 2], [2]], "before": [None] * 4})
+    for bucket, some in ((1, whole[:3]), (2, whole)):
+        assert near.between(some.reset_index(drop=True), None, 0.8, bucket) == []
+    assert len(calls) == 6  # nine pairs in the two groups, six distinct ones
+    later = whole.assign(before=[[7], [7], None, [7]])
+    near.between(later, None, 0.8, 2)
+    assert len(calls) == 7  # the last text was in no group with the third before
+    whole.loc[3, "words"] = words[0]
+    assert near.between(whole, None, 0.8, 2) == [(b"a", b"d")]
