@@ -335,6 +335,7 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
         edges = _few(groups, FEW).unionByName(stars.select(F.col("leader").alias("a"), F.col("node").alias("b"))).distinct()
         edges = edges.join(known, ["a", "b"], "left_anti") if known is not None else edges
         found = verified(edges, words, similarity)
+        sweep(found.sparkSession)  # the words of pairs
         known = found if known is None else known.unionByName(found)
         # Members of larger groups that no leader links, leaders aside.
         linked = stars.join(known.filter("linked").select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_semi")
@@ -351,6 +352,7 @@ def links(nodes: DataFrame, lists: Callable[[DataFrame], DataFrame], similarity:
         members = stored(more.select(F.xxhash64("bucket", "band", "key").alias("bucket"), "band", "node", "n_words").distinct())
     found = known.filter("linked").select("a", "b")
     found = stored(found if within is None else found.unionByName(within))
+    sweep(found.sparkSession)
     return found.unionByName(rest(first, found, words, similarity))
 
 
