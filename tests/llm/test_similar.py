@@ -248,6 +248,37 @@ def test_recall_of_edited_passages(spark):
         assert np.mean([i in found for i in own]) >= 0.9, kind
 
 
+def test_windows_have_room_for_edits(spark):
+    """Two windows of a worn passage need less room than a whole one's: of 300 passages of 60 words with 10 % replaced 0.97 meet."""
+    r, rows = random.Random(83), []
+    for k in range(300):
+        shared = text(60, r).split()
+        places = set(r.sample(range(1, 59), 6))
+        worn = [f"y{r.randrange(10**9)}" if i in places else w for i, w in enumerate(shared)]
+        rows += [(2 * k + i, f"{text(r.randint(0, 40), r)} {' '.join(words)} {text(30, r)}") for i, words in enumerate((shared, worn))]
+    couples = {(x.lead, x.id) for x in passages.pairs(passages.members(passages.windows(docs(spark, rows)))).collect()}
+    assert np.mean([(2 * k, 2 * k + 1) in couples for k in range(300)]) >= 0.97
+
+
+def test_words_rule_passages_out_without_loss(monkeypatch):
+    """What both ways of comparing give, and no alignment where the words in common leave no room for a passage."""
+    r = random.Random(84)
+    for k in range(200):
+        shared = text(r.randint(30, 90), r).split()
+        worn = edited(" ".join(shared), r.choice([0, 0.05, 0.15, 0.2, 0.25, 0.3]), r).split()
+        a, b = ([*text(r.randint(0, 60), r).split(), *words, *text(r.randint(0, 60), r).split()] for words in (shared, worn))
+        if k % 10 == 0:
+            b = a
+        a, b = (np.array([hash(w) & 0xFFFFFFFF for w in words], np.uint32) for words in (a, b))
+        assert passages.both_passages(a, b) == (passages.common_passages(a, b), *passages.same_stretches(a, b))
+    monkeypatch.setattr(passages, "common_passages", None)
+    one, two = (np.array([hash(w) & 0xFFFFFFFF for w in text(400, r).split()], np.uint32) for _ in range(2))
+    assert passages.both_passages(np.append(one, two[:30]), two) == ([], [], [])
+    for n in range(4):
+        whole = passages._aligned(np.arange(n), np.arange(10, 14), True)
+        assert whole.tolist() == [passages.ONLY_B] * (4 - n) + [passages.OTHER] * n and not len(passages._aligned(np.arange(n), np.arange(10, 14), False))
+
+
 def test_edited_passages_of_two_greater_documents(spark):
     """A lesser document holds the first 45 words, so it leads the groups of their tokens; the others share an edited passage."""
     r, rows = random.Random(80), []
