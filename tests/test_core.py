@@ -365,3 +365,20 @@ def test_grid_finds_all_cells_together(spark, monkeypatch):
 def test_grid_of_no_edges_is_empty(spark, golden):
     g, ix = golden
     assert rows(sweep.grid(g, ix, merges.build(stored(g.limit(0)), ix))) == []
+
+
+def test_large_levels_are_joined_block_by_block(spark, monkeypatch):
+    """One forest, whether a task holds a level, reads it in blocks that go on over several, or never holds it."""
+    g = stored(spark.createDataFrame(random_graph(13, m=400, nodes=20, span=60), "e long, u long, v long, t long"))
+    pairs = stored(merges.candidates(g, stored(index.levels(stored(staircase.staircases(g, 0, 6))))))
+    whole = rows(merges.merges(pairs))
+    assert len({k for k, *_ in whole}) > 2
+    monkeypatch.setattr(merges, "BLOCK", 7)
+    monkeypatch.setattr(merges, "SHORTEN", 2)
+    twice = pairs.unionByName(pairs)
+    for held in (400, 0):
+        assert rows(merges.merges(twice, most=60, nodes=40, held=held)) == whole
+    # No task may sort, thin or relabel all pairs of a level.
+    monkeypatch.setattr(merges, "_by_parts", None)
+    monkeypatch.setattr(merges, "_kruskal", None)
+    assert rows(merges.merges(pairs, most=0)) == whole
