@@ -394,3 +394,17 @@ def test_grid_of_forests_that_no_task_holds(spark, monkeypatch):
     monkeypatch.setattr(sweep, "_apart", None)
     monkeypatch.setattr(merges, "BLOCK", 20)
     assert found and rows(sweep.grid(g, ix, merged, uq=5, n=2, held=0)) == found
+
+
+def test_communities_need_no_merges_of_larger_weight(spark):
+    """Merges within a weight are those of all merges, and their trees give the same communities up to it."""
+    g = stored(spark.createDataFrame(random_graph(17, m=120, nodes=12, span=90), "e long, u long, v long, t long"))
+    ix = staircase.staircases(g, 0, 6)
+    whole, near = merges.build(g, ix, only=2), merges.build(g, ix, only=2, within=6)
+    assert rows(near) == rows(whole.filter("w <= 6")) and near.count() < whole.count()
+    level = stored(index.levels(ix, only=2))
+    (_, all_), (nodes, leaves) = forest.build(whole, level), forest.build(near, level)
+    assert rows(leaves.select("k", "e", "onset")) == rows(all_.select("k", "e", "onset"))
+    e = rows(level.select("e"))[5][0]
+    found = rows(forest.community_of(nodes, leaves, 2, 6, e))
+    assert len(found) > 1 and found == rows(merges.community_of(merges.distinct_pairs(whole), g, ix, 2, 6, e))
