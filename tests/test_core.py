@@ -408,3 +408,22 @@ def test_communities_need_no_merges_of_larger_weight(spark):
     e = rows(level.select("e"))[5][0]
     found = rows(forest.community_of(nodes, leaves, 2, 6, e))
     assert len(found) > 1 and found == rows(merges.community_of(merges.distinct_pairs(whole), g, ix, 2, 6, e))
+
+
+def test_trees_take_little_memory():
+    """A tree of 60,000 leaves is made in under 32 MB: numbers are held in arrays, not as objects."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n = 60_000
+    pdf = pd.DataFrame({"k": np.int32(1), "tree": 0, "w": np.arange(n - 1) * 7919 % 1000, "a": (np.arange(1, n) - 1) // 2, "b": np.arange(1, n)})
+    tracemalloc.start()
+    out = forest._tree(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    nodes = out[out.kind == "node"]
+    assert (len(nodes), nodes.cnt.max(), nodes.parent.isna().sum()) == (n - 1, n, 1)
+    assert sorted(out[out.kind == "leaf"]["first"]) == list(range(n))
+    assert peak < 32 << 20
